@@ -97,7 +97,14 @@ def anomalies(raw: dict[str, DataFrame]) -> DataFrame:
 
 
 def narrow_profile(profile: DataFrame, digests: DataFrame) -> DataFrame:
-    """The file profile without its name list, with the digest of each file."""
-    return profile.select("file", "rows", "columns").join(
-        digests.select("file", "sha256"), "file", "left"
+    """The file profile without its name list, with size and digest of each file.
+
+    A file that landed in several parts has a digest per part and none as a whole.
+    """
+    parts = F.count(F.lit(1))
+    sizes = digests.groupBy("file").agg(
+        parts.alias("parts"),
+        F.sum("length").alias("bytes"),
+        F.when(parts == 1, F.max("sha256")).alias("sha256"),
     )
+    return profile.select("file", "rows", "columns").join(sizes, "file", "left")

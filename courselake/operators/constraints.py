@@ -78,11 +78,16 @@ def primary_key(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 1)
 
 
+def unmatched(child: DataFrame, parent: DataFrame, keys: list[str]) -> DataFrame:
+    """Child keys without a parent, with the number of child rows. A NULL key has none."""
+    counted = child.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+    return counted.join(parent.select(*keys), keys, "left_anti")
+
+
 def foreign_key(child: DataFrame, parent: DataFrame, keys: list[str]) -> DataFrame:
-    """Child keys without a parent, with the number of child rows. NULL keys pass."""
+    """Keys that violate a reference. Unlike ``unmatched``, a NULL key passes."""
     known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    counted = child.filter(known).groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
-    return counted.join(parent.select(*keys), keys, "left_anti")
+    return unmatched(child.filter(known), parent, keys)
 
 
 def not_null(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,19 +33,29 @@ def land_folder(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     }
 
 
+_SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+
+
 def _listing(spark: SparkSession, folder: str) -> DataFrame:
-    """File listing of a folder; file contents are not read unless selected."""
+    """Files below a folder, by path inside it and by entry of the folder.
+
+    An entry is a file, or a folder of part files that together are one. Contents
+    are read only when selected.
+    """
+    root = re.sub(_SCHEME, "", folder).rstrip("/")
+    inside = F.substr(F.regexp_replace("path", _SCHEME, ""), F.lit(len(root) + 2))
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .load(folder)
+        .withColumn("part", inside)
+        .withColumn("file", F.substring_index("part", "/", 1))
     )
 
 
 def missing_files(spark: SparkSession, folder: str, expected: list[str]) -> DataFrame:
     """Expected names that the folder does not hold, as a file or as a folder of parts."""
-    inside = F.element_at(F.split("path", f"/{folder.rstrip('/').split('/')[-1]}/"), -1)
-    present = _listing(spark, folder).select(F.split(inside, "/")[0].alias("file")).distinct()
+    present = _listing(spark, folder).select("file").distinct()
     wanted = spark.createDataFrame([(name,) for name in sorted(set(expected))], "file string")
     return wanted.join(present, "file", "left_anti")
 
@@ -61,17 +73,15 @@ def file_digests(spark: SparkSession, folder: str) -> DataFrame:
     binary source refuses a file above 2 GB, which must then land in parts.
     """
     return _listing(spark, folder).select(
-        F.element_at(F.split("path", "/"), -1).alias("file"),
-        "length",
-        F.sha2("content", 256).alias("sha256"),
+        "file", "part", "length", F.sha2("content", 256).alias("sha256")
     )
 
 
 def compare_digests(digests: DataFrame, expected: DataFrame) -> DataFrame:
     """Files whose digest differs from the expected one, or that are absent."""
-    actual = digests.select("file", F.col("sha256").alias("actual"))
+    actual = digests.select("part", F.col("sha256").alias("actual"))
     return (
-        expected.select("file", F.col("sha256").alias("expected"))
-        .join(actual, "file", "left")
+        expected.select("part", F.col("sha256").alias("expected"))
+        .join(actual, "part", "left")
         .filter(~F.col("expected").eqNullSafe(F.col("actual")))
     )
