@@ -143,20 +143,26 @@ def snapshot_checks(last_week: int = LAST_WEEK) -> list[Check]:
 
 
 def failing_rows(checks: list[Check], tables: dict[str, DataFrame]) -> DataFrame:
-    """(check_name, failing_rows) of every check."""
+    """(check_name, severity, failing_rows, detail) of every check."""
+
+    def row(ch: Check, failing: Column) -> Column:
+        return F.struct(
+            F.lit(ch.name).alias("check_name"),
+            F.lit(ch.severity).alias("severity"),
+            failing.cast("long").alias("failing_rows"),
+            F.lit(ch.detail).alias("detail"),
+        )
+
     parts: list[DataFrame] = []
     for table in dict.fromkeys(ch.table for ch in checks if ch.keys is None):
         own = [ch for ch in checks if ch.keys is None and ch.table == table]
         measured = tables[table].agg(*[ch.measure().alias(ch.name) for ch in own])
-        parts.append(measured.unpivot([], [ch.name for ch in own], "check_name", "failing_rows"))
+        parts.append(measured.select(F.inline(F.array(*[row(ch, F.col(ch.name)) for ch in own]))))
     for ch in checks:
         if ch.keys is not None:
             total = F.count(F.lit(1)) if ch.count_keys else F.coalesce(F.sum("rows"), F.lit(0))
-            parts.append(
-                ch.keys(tables)
-                .agg(total.alias("failing_rows"))
-                .select(F.lit(ch.name).alias("check_name"), "failing_rows")
-            )
+            counted = ch.keys(tables).agg(total.alias("failing"))
+            parts.append(counted.select(row(ch, F.col("failing")).alias("r")).select("r.*"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -164,27 +170,17 @@ def run_checks(
     checks: list[Check], tables: dict[str, DataFrame], run_at: Column | None = None
 ) -> DataFrame:
     """One result row per check."""
-    facts = F.create_map(
-        *[
-            x
-            for ch in checks
-            for x in (F.lit(ch.name), F.struct(F.lit(ch.severity), F.lit(ch.detail)))
-        ]
-    )
-    found = facts[F.col("check_name")]
-    severity = found["col1"]
     status = (
-        F.when(severity == "informational", "profile")
+        F.when(F.col("severity") == "informational", "profile")
         .when(F.col("failing_rows") == 0, "pass")
         .otherwise("fail")
     )
-    return failing_rows(checks, tables).select(
-        (F.current_timestamp() if run_at is None else run_at).alias("run_at"),
-        "check_name",
-        severity.alias("severity"),
-        F.col("failing_rows").cast("long").alias("failing_rows"),
-        status.alias("status"),
-        found["col2"].alias("detail"),
+    return (
+        failing_rows(checks, tables)
+        .withColumns(
+            {"run_at": F.current_timestamp() if run_at is None else run_at, "status": status}
+        )
+        .select(*RESULT_COLUMNS)
     )
 
 

@@ -332,7 +332,7 @@ def _(lake: Lake) -> DataFrame:
 
 @query("mart_assessment_progress")
 def _(lake: Lake) -> DataFrame:
-    return lake.build_progress()
+    return lake.build_progress().withColumn("is_banked", F.col("is_banked").cast("int"))
 
 
 @query("mart_withdrawal_aligned")

@@ -444,7 +444,8 @@ add("mart_weekly_engagement", "weekly", "SELECT * FROM weekly")
 add(
     "mart_assessment_progress",
     "progress",
-    "SELECT * REPLACE (weight::DOUBLE AS weight, score::DOUBLE AS score) FROM progress",
+    """SELECT * REPLACE (weight::DOUBLE AS weight, score::DOUBLE AS score,
+                         is_banked::INTEGER AS is_banked) FROM progress""",
 )
 add("mart_withdrawal_aligned", "aligned", "SELECT * FROM aligned")
 add("mart_course_outcomes", "outcomes", "SELECT * FROM outcomes")
@@ -594,9 +595,14 @@ add(
 add(
     "feat_days_since",
     "spine interactions",
-    f"""SELECT s.*, s.snapshot_day - max(i.activity_day) FILTER (i.activity_day <= s.snapshot_day)
-                 AS days_since
-        FROM spine s LEFT JOIN interactions i USING ({AK}) GROUP BY ALL""",
+    f"""SELECT {AKW}, snapshot_day, snapshot_day - last_day AS days_since FROM (
+            SELECT {', '.join('s.' + c.strip() for c in AKW.split(','))}, s.snapshot_day,
+                   max(i.activity_day) AS last_day
+            FROM spine s
+            LEFT JOIN interactions i ON i.code_module = s.code_module
+                 AND i.code_presentation = s.code_presentation AND i.id_student = s.id_student
+                 AND i.activity_day <= s.snapshot_day
+            GROUP BY ALL)""",
 )
 add(
     "feat_split",
