@@ -211,7 +211,7 @@ def fit_sigmoid(scored_validation: DataFrame) -> LogisticRegressionModel:
     rows = scored_validation.select("margin", F.explode(sides).alias("side")).select(
         "side.label", "side.weight", array_to_vector(F.array("margin")).alias("features")
     )
-    return LogisticRegression(weightCol="weight", regParam=0.0, maxIter=200, tol=1e-10).fit(rows)
+    return LogisticRegression(weightCol="weight", regParam=0.0, maxIter=200, tol=1e-8).fit(rows)
 
 
 def apply_sigmoid(model: LogisticRegressionModel, scored: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """The relations and marts of one source folder, as the registered queries see them.
 
-Small parent tables, attempts and the marts are stored once per application, as the
-layers of a pipeline are; the activity and submission facts are read where they are.
+Relations and marts are stored once per application when a query first needs them, as
+the layers of a pipeline are. A query then reads columns of stored tables, joins sides
+whose size Catalyst knows, and a lost executor costs a re-read and not a re-derivation.
 """
 
 from __future__ import annotations
@@ -13,11 +14,22 @@ from pyspark.sql import functions as F
 
 from courselake.operators import core, features, marts
 from courselake.operators.models import model_frame
-from courselake.schemas import ASSESSMENT_TARGET, LANDING_COLUMNS
+from courselake.schemas import ASSESSMENT_TARGET
 from courselake.sources import adapter
 from courselake.sources.shelf import Shelf
 
 
+RELATIONS = {
+    "courses": adapter.courses,
+    "assessments": adapter.assessments,
+    "vle": adapter.resources,
+    "student_info": adapter.student_info,
+    "student_registration": adapter.student_registration,
+    "student_assessment": adapter.submissions,
+    "student_vle": adapter.interactions,
+}
+
+
 class Lake:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -27,41 +39,42 @@ class Lake:
     def shelf(self) -> Shelf:
         return Shelf(self.spark, self.sf_dir)
 
+    def relation(self, table: str) -> DataFrame:
+        return self.shelf.table(table, lambda: RELATIONS[table](self.spark, self.sf_dir))
+
     def landing(self, table: str) -> DataFrame:
-        return adapter.landing_table(self.spark, self.sf_dir, table)
+        return adapter.landing_form(self.relation(table), table)
 
     def all_landing(self) -> dict[str, DataFrame]:
-        return {table: self.landing(table) for table in LANDING_COLUMNS}
+        return {table: self.landing(table) for table in RELATIONS}
 
     @property
-    def info(self) -> DataFrame:
-        return adapter.student_info(self.spark, self.sf_dir)
+    def courses(self) -> DataFrame:
+        return self.relation("courses")
 
     @property
-    def registration(self) -> DataFrame:
-        return adapter.student_registration(self.spark, self.sf_dir)
+    def assessments(self) -> DataFrame:
+        return self.relation("assessments")
 
     @property
-    def submissions(self) -> DataFrame:
-        return adapter.submissions(self.spark, self.sf_dir)
+    def resources(self) -> DataFrame:
+        return self.relation("vle")
 
     @property
-    def interactions(self) -> DataFrame:
-        return adapter.interactions(self.spark, self.sf_dir)
+    def info(self) -> DataFrame:
+        return self.relation("student_info")
 
     @property
-    def courses(self) -> DataFrame:
-        return self.shelf.table("courses", lambda: adapter.courses(self.spark, self.sf_dir))
+    def registration(self) -> DataFrame:
+        return self.relation("student_registration")
 
     @property
-    def assessments(self) -> DataFrame:
-        return self.shelf.table(
-            "assessments", lambda: adapter.assessments(self.spark, self.sf_dir)
-        )
+    def submissions(self) -> DataFrame:
+        return self.relation("student_assessment")
 
     @property
-    def resources(self) -> DataFrame:
-        return self.shelf.table("resources", lambda: adapter.resources(self.spark, self.sf_dir))
+    def interactions(self) -> DataFrame:
+        return self.relation("student_vle")
 
     @property
     def attempts(self) -> DataFrame:

@@ -17,7 +17,9 @@ from courselake.schemas import (
     PRESENTATION,
     SUBMISSION,
 )
+from courselake.session import sized_shuffles
 from courselake.sources.files import file_digests, land_folder, require_files
+from courselake.sources.shelf import folder_size
 from courselake.sources.tables import write_results, write_table
 
 STAGED = {
@@ -156,6 +158,11 @@ def build_lake(
     missing_rule: str = "reference",
 ) -> Layers:
     """The whole batch run; any failed gate or guard stops it."""
+    with sized_shuffles(spark, folder_size(spark, source).bytes):
+        return _build(spark, source, root, expected_rows, missing_rule)
+
+
+def _build(spark, source, root, expected_rows, missing_rule) -> Layers:
     lake = Layers(spark, root)
     raw = ingest(spark, source, lake)
     profile(spark, source, raw, lake)

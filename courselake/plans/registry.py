@@ -32,7 +32,6 @@ from courselake.schemas import (
     ATTEMPT,
     ATTEMPT_WEEK,
     CATEGORICAL_FEATURES,
-    LANDING_COLUMNS,
     LANDING_FILES,
     LAST_WEEK,
     NUMERIC_FEATURES,
@@ -40,7 +39,7 @@ from courselake.schemas import (
     SUBMISSION,
     WITHDRAWAL_TARGET,
 )
-from courselake.sources import adapter, files, shelf
+from courselake.sources import files, shelf
 from courselake.sources.faults import faulty, with_bad_cells
 from courselake.sources.tables import write_table
 

@@ -212,49 +212,32 @@ def _landing(df: DataFrame, table: str, sources: dict[str, Column | str]) -> Dat
     return df.select(*out)
 
 
-def landing_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A relation in its landing form, with the padding that staging must trim."""
+def landing_form(df: DataFrame, table: str) -> DataFrame:
+    """A relation as its landing file holds it, with the padding that staging must trim."""
 
     def padded(name: str) -> Column:
         return F.concat(F.lit(" "), F.col(name), F.lit(" "))
 
-    if table == "courses":
-        return _landing(
-            courses(spark, sf_dir), table, {"module_presentation_length": "presentation_length_days"}
-        )
-    if table == "assessments":
-        return _landing(
-            assessments(spark, sf_dir),
-            table,
-            {"date": "due_day", "assessment_type": padded("assessment_type")},
-        )
-    if table == "vle":
-        return _landing(
-            resources(spark, sf_dir), table, {"activity_type": padded("activity_type")}
-        )
-    if table == "student_info":
-        return _landing(
-            student_info(spark, sf_dir),
-            table,
-            {"num_of_prev_attempts": "previous_attempts", "region": padded("region")},
-        )
-    if table == "student_registration":
-        return _landing(
-            student_registration(spark, sf_dir),
-            table,
-            {"date_registration": "registration_day", "date_unregistration": "unregistration_day"},
-        )
-    if table == "student_assessment":
-        return _landing(
-            submissions(spark, sf_dir),
-            table,
-            {"date_submitted": "submitted_day", "is_banked": F.col("is_banked").cast("int")},
-        )
+    # Landing names of the columns that staging renames.
+    sources: dict[str, dict[str, Column | str]] = {
+        "courses": {"module_presentation_length": "presentation_length_days"},
+        "assessments": {"date": "due_day", "assessment_type": padded("assessment_type")},
+        "vle": {"activity_type": padded("activity_type")},
+        "student_info": {"num_of_prev_attempts": "previous_attempts", "region": padded("region")},
+        "student_registration": {
+            "date_registration": "registration_day",
+            "date_unregistration": "unregistration_day",
+        },
+        "student_assessment": {
+            "date_submitted": "submitted_day",
+            "is_banked": F.col("is_banked").cast("int"),
+        },
+    }
     if table == "student_vle":
-        return interactions(spark, sf_dir).select(
+        return df.select(
             *ATTEMPT,
             "id_site",
             F.col("activity_day").alias("date"),
             F.col("click_count").alias("sum_click"),
         )
-    raise KeyError(table)
+    return _landing(df, table, sources[table])

@@ -41,9 +41,9 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/courselake/{app}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def fingerprint(spark: SparkSession, folder: str) -> str:
-    """File count, bytes and newest change below a folder, from the listing alone."""
-    row = (
+def folder_size(spark: SparkSession, folder: str):
+    """Row of file count, bytes and newest change below a folder, from the listing alone."""
+    return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .load(folder)
@@ -54,6 +54,11 @@ def fingerprint(spark: SparkSession, folder: str) -> str:
         )
         .first()
     )
+
+
+def fingerprint(spark: SparkSession, folder: str) -> str:
+    """Text that changes when the files below a folder do."""
+    row = folder_size(spark, folder)
     return f"{folder}|{row.files}|{row.bytes}|{row.changed}"
 
 
