@@ -910,6 +910,18 @@ add(
     TOTALS.format(f"{PK}, course_week", f"(SELECT * FROM weekly WHERE {WEEKS})"),
 )
 
+add(
+    "snk_results",
+    "attempts weekly_summary progress aligned",
+    f"""SELECT 'outcome_distribution' AS table_name, 4::BIGINT AS rows
+        UNION ALL SELECT 'weekly_engagement_summary', count(*) FROM weekly_summary
+        UNION ALL SELECT 'assessment_patterns', count(*) FROM p
+        UNION ALL SELECT 'withdrawal_alignment',
+                  count(DISTINCT floor(days_relative_to_unregistration / 7.0))
+                  FROM aligned WHERE days_relative_to_unregistration BETWEEN -84 AND 28""",
+    p=PATTERNS,
+)
+
 # --- preprocessing and baselines --------------------------------------------
 
 add(
