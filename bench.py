@@ -36,6 +36,7 @@ BUILDS = {
 HEADLINE = [
     "ana_weekly_from_fact",
     "ana_weekly_from_mart",
+    "ana_snapshots_from_store",
     "mart_weekly_engagement",
     "mart_assessment_progress",
     "mart_resource_usage",

@@ -35,6 +35,8 @@ ENGAGEMENT_COLUMNS = [
     "latest_activity_day",
 ]
 MISSING_RULES = ("reference", "as_of")
+# The attempt key with its most selective column first: sorts compare that one first.
+PLACED_BY = ["id_student", *PRESENTATION]
 
 
 def snapshot_day(week: Column | str) -> Column:
@@ -82,6 +84,24 @@ def _engagement_rows(weekly: DataFrame, last_week: int) -> DataFrame:
     )
 
 
+def _pack_event(due_day: str, assessment: str, adverse: str) -> Column:
+    """An assessment as one long that sorts by (due day, id). Longs aggregate by hash."""
+    low = F.col(assessment).cast("long") * 2 + F.col(adverse)
+    return F.shiftleft(F.col(due_day).cast("long"), 32) + low
+
+
+def _event_due_day(event: Column) -> Column:
+    return F.shiftright(event, 32).cast("int")
+
+
+def _event_assessment(event: Column) -> Column:
+    return F.shiftright(event.bitwiseAND(F.lit((1 << 32) - 1)), 1).cast("int")
+
+
+def _event_adverse(event: Column) -> Column:
+    return event.bitwiseAND(F.lit(1)).cast("int")
+
+
 def assessment_weeks(
     progress: DataFrame, missing_rule: str = "reference", last_week: int = LAST_WEEK
 ) -> DataFrame:
@@ -96,53 +116,32 @@ def assessment_weeks(
     if missing_rule not in MISSING_RULES:
         raise ValueError(f"missing_rule must be one of {MISSING_RULES}")
     due_week, hand_in_week = week_of("due_day"), week_of("submitted_day")
-    zero = F.lit(0)
-    no_event = F.lit(None).cast("struct<due_day:int,id_assessment:int,adverse:int>")
-
-    def fact(week: Column, **values: Column) -> Column:
-        default = {
-            "submissions": zero,
-            "scores": zero,
-            "score_sum": F.lit(None).cast("decimal(5,2)"),
-            "weighted": F.lit(None).cast("decimal(12,4)"),
-            "missing_due": zero,
-            "next_event": no_event,
-        }
-        default.update(values)
-        clamped = F.greatest(zero, F.least(F.lit(last_week + 1), week)).cast("int")
-        return F.struct(
-            clamped.alias("course_week"), *[v.alias(n) for n, v in default.items()]
+    handed_in = progress.filter(F.col("submitted_day").isNotNull())
+
+    def facts(rows: DataFrame, week: Column, **values: Column) -> DataFrame:
+        clamped = F.greatest(F.lit(0), F.least(F.lit(last_week + 1), week)).cast("int")
+        return rows.select(
+            *ATTEMPT, clamped.alias("course_week"), *[v.alias(n) for n, v in values.items()]
         )
 
-    counted_missing = F.col("missing_submission") if missing_rule == "reference" else F.lit(1)
-    facts = [
-        fact(
-            due_week,
-            missing_due=counted_missing,
-            next_event=F.struct(
-                "due_day", "id_assessment", F.col("adverse_assessment_event").alias("adverse")
-            ),
-        ),
-        F.when(
-            F.col("submitted_day").isNotNull(),
-            fact(
-                hand_in_week,
-                submissions=F.lit(1),
-                scores=F.when(F.col("score").isNotNull(), 1).otherwise(0),
-                score_sum=F.col("score"),
-                weighted=(F.col("score") * F.col("weight")).cast("decimal(12,4)"),
-            ),
+    counted = F.col("missing_submission") if missing_rule == "reference" else F.lit(1)
+    event = _pack_event("due_day", "id_assessment", "adverse_assessment_event")
+    parts = [
+        facts(progress, due_week, missing_due=counted, next_event=event),
+        facts(
+            handed_in,
+            hand_in_week,
+            submissions=F.lit(1),
+            scores=F.when(F.col("score").isNotNull(), 1).otherwise(0),
+            score_sum=F.col("score"),
+            weighted=(F.col("score") * F.col("weight")).cast("decimal(12,4)"),
         ),
     ]
     if missing_rule == "as_of":
-        settled = F.col("missing_submission") == 0
-        facts.append(
-            F.when(settled, fact(F.greatest(due_week, hand_in_week), missing_due=F.lit(-1)))
-        )
+        settled_week = F.greatest(due_week, hand_in_week)
+        parts.append(facts(handed_in, settled_week, missing_due=F.lit(-1)))
     return (
-        progress.select(*ATTEMPT, F.explode(F.array(*facts)).alias("fact"))
-        .filter(F.col("fact").isNotNull())
-        .select(*ATTEMPT, "fact.*")
+        reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
         .groupBy(*ATTEMPT_WEEK)
         .agg(
             F.sum("submissions").alias("submissions"),
@@ -175,8 +174,8 @@ def timeline(
         values += [c for c in assessment_facts.columns if c not in ATTEMPT_WEEK]
     placed = reduce(
         lambda a, b: a.unionByName(b, allowMissingColumns=True), parts
-    ).repartition(*ATTEMPT)
-    merged = placed.groupBy(*ATTEMPT_WEEK).agg(
+    ).repartition(*PLACED_BY)
+    merged = placed.groupBy(*PLACED_BY, "course_week").agg(
         F.coalesce(F.max("on_spine"), F.lit(False)).alias("on_spine"),
         *[F.max(v).alias(v) for v in values],
     )
@@ -203,7 +202,7 @@ def pad_weeks(spine: DataFrame, weekly: DataFrame, last_week: int = LAST_WEEK) -
 
 
 def _ordered():
-    return Window.partitionBy(*ATTEMPT).orderBy("course_week")
+    return Window.partitionBy(*PLACED_BY).orderBy("course_week")
 
 
 def _engagement_window_columns() -> dict[str, Column]:
@@ -282,9 +281,9 @@ def next_assessment(state: DataFrame) -> DataFrame:
     """Snapshots that have a next assessment, with its id, due day and outcome."""
     return state.filter(F.col("next_event").isNotNull()).select(
         *[c for c in state.columns if c != "next_event"],
-        F.col("next_event.id_assessment").alias("next_assessment_id"),
-        F.col("next_event.due_day").alias("next_assessment_due_day"),
-        F.col("next_event.adverse").alias(ASSESSMENT_TARGET),
+        _event_assessment(F.col("next_event")).alias("next_assessment_id"),
+        _event_due_day(F.col("next_event")).alias("next_assessment_due_day"),
+        _event_adverse(F.col("next_event")).alias(ASSESSMENT_TARGET),
     )
 
 
@@ -298,7 +297,7 @@ def withdrawal_label(
         *ATTEMPT, "gender", "age_band", "disability", "imd_band", "unregistration_day"
     )
     return (
-        df.join(people, ATTEMPT)
+        df.join(people, PLACED_BY)
         .withColumn(WITHDRAWAL_TARGET, F.when(inside, 1).otherwise(0))
         .drop("unregistration_day")
     )
@@ -367,8 +366,8 @@ def range_join_clicks(spine: DataFrame, weekly: DataFrame, last_week: int = LAST
     so_far = _ordered().rowsBetween(Window.unboundedPreceding, 0)
     return (
         history.unionByName(probes)
-        .repartition(*ATTEMPT)
-        .groupBy(*ATTEMPT_WEEK)
+        .repartition(*PLACED_BY)
+        .groupBy(*PLACED_BY, "course_week")
         .agg(F.sum("click_count").alias("click_count"), F.max("on_spine").alias("on_spine"))
         .select(*ATTEMPT_WEEK, "on_spine", F.sum("click_count").over(so_far).alias("clicks_to_week"))
         .filter("on_spine")
@@ -402,7 +401,7 @@ def days_since(
     marks = known.select(*ATTEMPT, "at_day", F.col("at_day").alias("event_day"))
     probes = df.select(*ATTEMPT, F.col(cutoff).alias("at_day"), F.struct(*df.columns).alias("row"))
     until = (
-        Window.partitionBy(*ATTEMPT)
+        Window.partitionBy(*PLACED_BY)
         .orderBy("at_day", F.col("row").isNotNull())
         .rowsBetween(Window.unboundedPreceding, 0)
     )

@@ -67,6 +67,7 @@ def core_checks(expected_rows: dict[str, int] | None = None) -> list[Check]:
     rows = {**PUBLISHED_ROWS, **(expected_rows or {})}
     c = F.col
     error, warning, info = "error", "warning", "informational"
+    # Names, severities and bounds of the checks. The details are our words.
     return [
         Check("source_courses_row_count", error, "Presentation rows against the expected number.",
               "presentations", expected_rows=rows["presentations"]),
@@ -123,6 +124,7 @@ def core_checks(expected_rows: dict[str, int] | None = None) -> list[Check]:
 def snapshot_checks(last_week: int = LAST_WEEK) -> list[Check]:
     """The checks on the snapshot mart."""
     c = F.col
+    # Names, severities and bounds of the checks.
     return [
         Check("duplicate_model_snapshots", "error", "One snapshot per attempt and week.",
               "snapshots", keys=lambda t: primary_key(t["snapshots"], ATTEMPT_WEEK),

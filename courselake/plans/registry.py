@@ -714,6 +714,11 @@ def _(lake: Lake) -> DataFrame:
     return analysis.weekly_totals_from_mart(lake.weekly)
 
 
+@query("ana_snapshots_from_store")
+def _(lake: Lake) -> DataFrame:
+    return lake.snapshots.select(*ATTEMPT_WEEK, "clicks_to_date")
+
+
 # --- preprocessing and models ------------------------------------------------
 
 

@@ -910,6 +910,7 @@ add(
     TOTALS.format(f"{PK}, course_week", f"(SELECT * FROM weekly WHERE {WEEKS})"),
 )
 
+add("ana_snapshots_from_store", "snapshots", f"SELECT {AKW}, clicks_to_date FROM snapshots")
 add(
     "snk_results",
     "attempts weekly_summary progress aligned",

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from courselake.functions.ranking import exact_quantiles, with_prefix_sums
 from courselake.operators import evaluation as ev
-from courselake.plans import gallery
+from courselake.plans import analysis, gallery
 
 
 def scored(spark, y, p, **columns):
@@ -119,6 +119,18 @@ def test_grouped_metrics_skip_small_and_one_class_groups(spark):
     assert {(r.dimension, r.group) for r in got} == {("course_week", "0"), ("code_module", "big")}
 
 
+def test_timed_pair_refuses_different_answers(spark, lake):
+    variants = {
+        "fact": lambda: analysis.weekly_totals_from_fact(lake.interactions),
+        "mart": lambda: analysis.weekly_totals_from_mart(lake.weekly),
+    }
+    timed = analysis.timed_pair(spark, "weekly", variants, runs=1).collect()
+    assert [r.variant for r in timed] == ["fact", "mart"]
+    variants["mart"] = lambda: analysis.weekly_totals_from_mart(lake.weekly.filter("course_week > 0"))
+    with pytest.raises(ValueError, match="different answers"):
+        analysis.timed_pair(spark, "weekly", variants, runs=1)
+
+
 def test_cohort_percentile_equals_percent_rank(spark):
     rng = np.random.default_rng(4)
     table = pd.DataFrame({

@@ -127,11 +127,27 @@ def test_engagement_windows_ignore_ineligible_weeks(spark):
     assert [rows[w].days_since_activity for w in (1, 2, 3, 4)] == [5, 5, 12, 4]
 
 
+def test_packed_events_keep_order_and_content(spark):
+    rows = spark.createDataFrame(
+        [(-9, 5, 1), (0, 2147483647, 1), (0, 2147483647, 0), (1, 1, 0), (20, 7, 1)],
+        "due int, id int, bad int",
+    ).withColumn("e", f._pack_event("due", "id", "bad"))
+    out = rows.orderBy("e").select(
+        f._event_due_day(F.col("e")), f._event_assessment(F.col("e")), f._event_adverse(F.col("e"))
+    )
+    got = [tuple(r) for r in out.collect()]
+    assert got == sorted(tuple(r)[:3] for r in rows.collect())
+
+
 def history(spark, rows, rule="reference", length=40):
     spine = f.attempt_weeks(attempts(spark), presentations(spark, length))
     weekly = marts.weekly_engagement(activity(spark, (1, 0, 1)))
     state = f.assessment_state(spine, weekly, progress(spark, *rows), rule)
-    return {r.course_week: r for r in state.collect()}
+    ahead = f.next_assessment(state).withColumn(
+        "upcoming",
+        F.struct("next_assessment_id", "next_assessment_due_day", "target_next_assessment_event"),
+    )
+    return {r.course_week: r for r in ahead.collect()}
 
 
 def test_history_and_next_assessment(spark):
@@ -149,13 +165,16 @@ def test_history_and_next_assessment(spark):
     assert float(rows[4].mean_score_to_date) == 56.665
     assert float(rows[4].weighted_score_to_date) == 19.333
     assert [rows[w].missing_due_to_date for w in range(6)] == [0, 0, 1, 1, 1, 1]
-    nexts = [rows[w].next_event for w in range(6)]
-    assert [n.id_assessment for n in nexts] == [12, 12, 14, 14, 14, 14]
-    assert nexts[0].due_day == 20 and nexts[2].adverse == 0
+    nexts = [rows[w].upcoming for w in range(6)]
+    assert nexts == [(12, 20, 0), (12, 20, 0)] + [(14, 200, 0)] * 4
 
 
 def test_as_of_rule_counts_late_work_until_it_arrives(spark):
-    rows = history(spark, [(12, 20, 20.0, 29, 80.0), (13, 20, 30.0, None, None)], "as_of")
+    rows = history(
+        spark,
+        [(12, 20, 20.0, 29, 80.0), (13, 20, 30.0, None, None), (14, 300, 1.0, 0, 5.0)],
+        "as_of",
+    )
     assert [rows[w].missing_due_to_date for w in range(6)] == [0, 0, 2, 2, 1, 1]
     with pytest.raises(ValueError):
         f.assessment_weeks(progress(spark, (1, 1, 1.0, None, None)), "other")
@@ -165,7 +184,7 @@ def test_attempt_without_assessments(spark):
     rows = history(spark, [(1, 500, 1.0, None, None)])
     assert rows[0].submissions_to_date == 0 and rows[0].mean_score_to_date is None
     assert float(rows[0].weighted_score_to_date) == 0.0
-    assert rows[5].next_event.id_assessment == 1
+    assert rows[5].upcoming == (1, 500, 1)
 
 
 def test_withdrawal_horizon_edges(spark):
