@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from courselake.llm.common import table
 from courselake.llm.curriculum import curriculum, in_training_order
 from courselake.llm.language_model import lm_scores
+from courselake.llm.ngram_join import ngram_components
 from courselake.llm.preferences import pair_by_number, preference_pairs
 from courselake.llm.pseudonyms import pseudonymised
 from courselake.llm.sharding import histogram_shards
@@ -30,6 +31,10 @@ def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymised(docs).select("doc_id", "n_replaced", "text")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"))
+
+
 def op5_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", "text",
@@ -68,6 +73,7 @@ def op10_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_curriculum": op2_curriculum,
     "op3_pseudonyms": op3_pseudonyms,
+    "op4_ngram_join": op4_ngram_join,
     "op5_histogram_sort": op5_histogram_sort,
     "op6_preferences": op6_preferences,
     "op7_top_inner_products": op7_top_inner_products,
