@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,24 +46,6 @@ def learns(doc_id: Column, modulus: int, left_out: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus != left_out, F.lit(True))
 
 
-class WordHash(dict):
-    """Word bytes to 64-bit hash; forgets what it knows beyond ``most`` words."""
-
-    def __init__(self, most: int = 400_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def word_hashes(words: list[bytes], known: WordHash) -> np.ndarray:
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
 def scramble(x: np.ndarray) -> np.ndarray:
     """A bijective mix of 64-bit values."""
     x = x ^ (x >> np.uint64(33))
@@ -74,6 +55,45 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+# A random value per byte (none for white space) and an odd one per place in a word.
+_BYTES = np.where(SPACE, np.uint64(0), scramble(np.arange(1, 257, dtype=np.uint64)))
+_PLACES = scramble(np.arange(1000, 1512, dtype=np.uint64)) | np.uint64(1)
+SLICE = 1 << 20
+
+
+def slices(data: bytes) -> Iterator[tuple[int, int]]:
+    """The text in parts of about SLICE bytes that end after white space or with the text."""
+    at = 0
+    while at < len(data):
+        end = min(len(data), at + SLICE)
+        while end < len(data) and not SPACE[data[end - 1]]:
+            end += 1
+        yield at, end
+        at = end
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of the text's words, runs without ASCII white space, in order."""
+    found = []
+    for at, end in slices(data):
+        b = np.frombuffer(data, np.uint8, end - at, at)
+        space = SPACE[b]
+        starts = np.flatnonzero(~space & np.r_[True, space[:-1]])
+        if not len(starts):
+            continue
+        b = b[starts[0] :]
+        starts = starts - starts[0]
+        place = np.arange(len(b)) - np.repeat(starts, np.diff(np.r_[starts, len(b)]))
+        if len(b) > len(_PLACES) and place.max() >= len(_PLACES):
+            factor = scramble(place.astype(np.uint64) + np.uint64(1000)) | np.uint64(1)
+        else:
+            factor = _PLACES[np.minimum(place, len(_PLACES) - 1)]
+        found.append(np.add.reduceat(_BYTES[b] * factor, starts))
+    return scramble(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 

@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from courselake.llm.common import (
-    WordHash, learns, map_arrow, scramble, shuffle_partitions, stored, texts, word_hashes,
+    learns, map_arrow, scramble, shuffle_partitions, stored, texts, word_hashes,
 )
 from courselake.llm.packing import bucket_edges, pack, pack_sorted, unpack, unpack_sorted
 
 BATCH_TOKENS = 1_000_000
 ARC_BITS = 56
-# Neither can be a word: words hold no white space and are not empty.
-END, START = b"", b" "
+# Hashes that stand for the end of a text and for the state before its first word.
+END, START = np.uint64(0), np.uint64(1)
 
 
 def _batches(docs: DataFrame) -> DataFrame:
@@ -36,9 +36,7 @@ def _batches(docs: DataFrame) -> DataFrame:
     whether they are learned from, their lengths, tokens, and the sorted hashes of its words."""
 
     def flush(name: str, ids: list, learned: list, parts: list) -> pa.RecordBatch:
-        known = WordHash()
-        special = word_hashes([START], known)
-        words, tokens = np.unique(np.concatenate([special, *parts]), return_inverse=True)
+        words, tokens = np.unique(np.concatenate([[START], *parts]), return_inverse=True)
         lengths = np.array([len(p) for p in parts], np.int64)
         return pa.RecordBatch.from_arrays(
             [
@@ -52,7 +50,6 @@ def _batches(docs: DataFrame) -> DataFrame:
         )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHash()
         task, n, size = TaskContext.get().partitionId(), 0, 0
         ids: list = []
         learned: list = []
@@ -61,7 +58,7 @@ def _batches(docs: DataFrame) -> DataFrame:
             for doc_id, learn, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2))):
                 ids.append(doc_id)
                 learned.append(learn)
-                parts.append(word_hashes([*data.lower().split(), END], known))
+                parts.append(np.append(word_hashes(data.lower()), END))
                 size += len(parts[-1])
                 if size >= BATCH_TOKENS:
                     yield flush(f"{task}-{n}", ids, learned, parts)
@@ -83,7 +80,7 @@ class _Walk:
         self.tokens = unpack(tokens, np.uint32).astype(np.int64)
         self.words = unpack_sorted(words)
         self.begins = np.cumsum(self.lengths) - self.lengths
-        start = np.searchsorted(self.words, word_hashes([START], WordHash()))[0]
+        start = np.searchsorted(self.words, START)
         self.states = np.empty_like(self.tokens)
         self.states[1:] = self.tokens[:-1]
         self.states[self.begins] = start
@@ -142,8 +139,7 @@ def _answers(asked: DataFrame, arcs: bool) -> DataFrame:
         counts = np.concatenate([unpack(c, np.uint32) for c in pdf["counts"]])
         sums = np.bincount(at, weights=counts).astype(np.int64)
         each = np.split(at, np.cumsum([len(k) for k in own])[:-1])
-        start = word_hashes([START], WordHash())[0]
-        real = sums if arcs else sums[keys != start]
+        real = sums if arcs else sums[keys != START]
         out = pd.DataFrame(
             {
                 "batch": [*pdf["batch"], None],

@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from courselake.llm.common import (
-    WordHash, connected_components, map_arrow, scramble, shuffle_partitions, signed, small_batches, stored,
-    texts, word_hashes,
+    connected_components, map_arrow, scramble, shuffle_partitions, signed, small_batches, stored, texts,
+    word_hashes,
 )
 from courselake.llm.packing import bucket_edges, pack, pack_sorted, unpack, unpack_sorted
 
@@ -37,10 +37,10 @@ BATCH_SHINGLES = 1_000_000
 BITS = 56
 
 
-def shingles(data: bytes, width: int, known: WordHash) -> np.ndarray:
+def shingles(data: bytes, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's runs of ``width`` words; of a shorter text, the
     one hash of all its words; of a text without words, none."""
-    words = word_hashes(data.lower().split(), known)
+    words = word_hashes(data.lower())
     if not len(words):
         return words
     wide = min(width, len(words))
@@ -106,14 +106,13 @@ def sketches(docs: DataFrame, width: int, similarity: Fraction) -> DataFrame:
         return int.from_bytes(name.encode(), "big") % 1_000_003
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHash()
         task, n, size = TaskContext.get().partitionId(), 0, 0
         ids: list = []
         sets: list = []
         for batch in batches:
             for doc_id, data in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
                 ids.append(doc_id)
-                sets.append(shingles(data, width, known))
+                sets.append(shingles(data, width))
                 size += len(sets[-1])
                 if size >= BATCH_SHINGLES:
                     yield flush(f"{task}-{n}", ids, sets)
@@ -211,10 +210,9 @@ def _sets(docs: DataFrame, kept: DataFrame, width: int, most_bytes: int = 64 <<
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few, "doc_id")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHash()
         for batch in batches:
             node = batch.column(1).to_numpy()
-            sets = [shingles(data, width, known) for data in texts(batch.column(0))]
+            sets = [shingles(data, width) for data in texts(batch.column(0))]
             same = [i for i, s in enumerate(sets) if len(s) and set_digest(s) == node[i]]
             yield pa.RecordBatch.from_arrays(
                 [

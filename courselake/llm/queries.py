@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from courselake.llm.common import table
 from courselake.llm.curriculum import curriculum, in_training_order
+from courselake.llm.decontamination import with_leaks
 from courselake.llm.language_model import lm_scores
 from courselake.llm.ngram_join import ngram_components
 from courselake.llm.preferences import pair_by_number, preference_pairs
@@ -19,6 +20,12 @@ from courselake.llm.topk import top_inner_products
 from courselake.llm.toxicity import toxicity
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = with_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 def op2_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = curriculum(table(spark, sf_dir, "documents"))
     return in_training_order(plan).select(
@@ -71,6 +78,7 @@ def op10_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_curriculum": op2_curriculum,
     "op3_pseudonyms": op3_pseudonyms,
     "op4_ngram_join": op4_ngram_join,

@@ -14,10 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courselake.llm.common import learns, map_arrow, scramble, small_batches, stored, texts
+from courselake.llm.common import SPACE, learns, map_arrow, slices, small_batches, stored, texts
 
 ORDER = 5
-SLICE = 1 << 20  # bytes of a text looked at together
 STRONG = 7.0  # log ratio of a word from which it counts as a toxic one
 N_FEATURES = 4
 
@@ -136,29 +135,13 @@ def ratios(counts: dict[int, tuple[np.ndarray, np.ndarray]], discount: float = 0
     return Ratios(Ratios.table(keys, full), Ratios.table(context, back), 0.0)
 
 
-SPACE = np.zeros(256, bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
-
-
-def _slices(data: bytes) -> Iterator[tuple[int, int]]:
-    """The text in parts of at most SLICE bytes, cut after white space where there is any."""
-    at = 0
-    while at < len(data):
-        end = min(len(data), at + SLICE)
-        if end < len(data):
-            spaces = np.flatnonzero(SPACE[np.frombuffer(data, np.uint8, end - at, at)])
-            end = at + int(spaces[-1]) + 1 if len(spaces) else end
-        yield at, end
-        at = end
-
-
 def _features(data: bytes, model: Ratios) -> tuple[float, ...]:
     """From the log ratio of each byte, summed by word (with the white space after it): the
     mean per byte; the largest word and the mean of the largest two; the mean excess over
     STRONG per word. All 0 for an empty text."""
     total = excess = 0.0
     words, top = 0, np.zeros(0)
-    for at, end in _slices(data):
+    for at, end in slices(data):
         head = min(at, ORDER - 1)
         part = np.frombuffer(b" " * (ORDER - 1 - head) + data[at - head : end], np.uint8)
         r = model.of(part)
