@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,19 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def shared(spark: SparkSession, value) -> Callable:
+    """A function that gives ``value`` inside tasks; it is broadcast once, with its classes."""
+    packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    kept: list = []
+
+    def get():
+        if not kept:
+            kept.append(pickle.loads(packed.value))
+        return kept[0]
+
+    return get
+
+
 def learns(doc_id: Column, modulus: int, left_out: int) -> Column:
     """False for rows whose crc32 of the id's text falls on ``left_out``; a null id learns."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus != left_out, F.lit(True))

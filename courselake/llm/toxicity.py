@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courselake.llm.common import SPACE, learns, map_arrow, slices, small_batches, stored, texts
+from courselake.llm.common import SPACE, learns, map_arrow, shared, slices, small_batches, stored, texts
 
 ORDER = 5
 STRONG = 7.0  # log ratio of a word from which it counts as a toxic one
@@ -29,8 +29,13 @@ def _grams(data: np.ndarray, order: int) -> np.ndarray:
     return out
 
 
+def apart(text: bytes) -> bytes:
+    """Lower case, words so far apart that no gram spans two of them."""
+    return (b" " * (ORDER - 1)).join(text.lower().split())
+
+
 def _padded(text: bytes) -> np.ndarray:
-    return np.frombuffer(b" " * (ORDER - 1) + text.lower() + b" ", np.uint8)
+    return np.frombuffer(b" " * (ORDER - 1) + apart(text) + b" ", np.uint8)
 
 
 @dataclass
@@ -101,7 +106,7 @@ def ratios(counts: dict[int, tuple[np.ndarray, np.ndarray]], discount: float = 0
     for c in (0, 1):
         n[c, np.searchsorted(keys, counts[c][0])] = counts[c][1]
 
-    def shared(grams: np.ndarray, size: int) -> np.ndarray:
+    def lower_order(grams: np.ndarray, size: int) -> np.ndarray:
         """S of each gram's last byte after its other size - 1 bytes, ``grams`` distinct and sorted,
         all distinct grams of that size."""
         if size == 0:
@@ -113,14 +118,14 @@ def ratios(counts: dict[int, tuple[np.ndarray, np.ndarray]], discount: float = 0
         context, where, followers = np.unique(mine >> np.uint64(8), return_inverse=True, return_counts=True)
         total = np.bincount(where, weights=times)
         lower_keys = np.unique(mine & np.uint64((1 << (8 * (size - 1))) - 1)) if size > 1 else np.zeros(1, np.uint64)
-        lower = shared(lower_keys, size - 1)
+        lower = lower_order(lower_keys, size - 1)
         at = np.searchsorted(lower_keys, mine & np.uint64((1 << (8 * (size - 1))) - 1)) if size > 1 else np.zeros(len(mine), int)
         p = np.maximum(times - discount, 0) / total[where] + discount * followers[where] / total[where] * lower[at]
         return p[np.searchsorted(mine, grams)]
 
     short = keys & np.uint64((1 << (8 * (ORDER - 1))) - 1)
     short_keys, short_at = np.unique(short, return_inverse=True)
-    s = shared(short_keys, ORDER - 1)[short_at]
+    s = lower_order(short_keys, ORDER - 1)[short_at]
     context, where = np.unique(keys >> np.uint64(8), return_inverse=True)
     p, weight = np.zeros((2, len(keys))), np.ones((2, len(context)))
     for c in (0, 1):
@@ -163,7 +168,7 @@ class Classifier:
     weights: np.ndarray  # of the features and 1
 
     def scores(self, documents: Iterator[bytes]) -> np.ndarray:
-        x = np.array([[*_features(d.lower(), self.model), 1.0] for d in documents]).reshape(-1, N_FEATURES + 1)
+        x = np.array([[*_features(apart(d), self.model), 1.0] for d in documents]).reshape(-1, N_FEATURES + 1)
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -40, 40)))
 
 
@@ -183,7 +188,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> Classifier | None:
     """Learns from a bounded sample: of each class, at most ``per_class`` labelled documents, those
     with the smallest digests of their ids. Held-out rows (crc32 of the id mod 5 is 0) are no part
-    of it. Ten sixteenths of the sample give the counts, the rest the features' weights. None if a
+    of it. The features' weights are learned on six sixteenths of the sample
+    under the counts of the rest; then all of it is counted. None if a
     class has fewer than two documents.
     """
     spark = docs.sparkSession
@@ -207,33 +213,38 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> Classifier
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            label = batch.column(1).to_numpy()
-            parts: dict[int, list] = {0: [], 1: []}
-            for y, data in zip(label, texts(batch.column(0))):
-                parts[int(y)].append(_grams(_padded(data), ORDER))
-            for y, own in parts.items():
-                if own:
-                    keys, times = np.unique(np.concatenate(own), return_counts=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(keys), y, np.int32)), pa.array(keys.view(np.int64)), pa.array(times)],
-                        ["toxic", "gram", "n"],
-                    )
-
-    grams = map_arrow(sample.where("half = 0").select("text", "toxic"), count, "toxic int, gram long, n long")
-    summed = grams.groupBy("toxic", "gram").agg(F.sum("n").alias("n")).toPandas()  # bounded by the sample
-    counts = {}
-    for c in (0, 1):
-        own = summed[summed["toxic"] == c]
-        counts[c] = own["gram"].to_numpy(np.int64).view(np.uint64), own["n"].to_numpy(float)
-    if not all(len(k) for k, _ in counts.values()):
+            parts: dict[tuple[int, int], list] = {}
+            for half, y, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), texts(batch.column(0))):
+                parts.setdefault((half, y), []).append(_grams(_padded(data), ORDER))
+            for (half, y), own in parts.items():
+                keys, times = np.unique(np.concatenate(own), return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(keys), half, np.int32)), pa.array(np.full(len(keys), y, np.int32)),
+                        pa.array(keys.view(np.int64)), pa.array(times),
+                    ],
+                    ["half", "toxic", "gram", "n"],
+                )
+
+    grams = map_arrow(sample.select("text", "half", "toxic"), count, "half int, toxic int, gram long, n long")
+    # as many rows as the bounded sample has distinct grams
+    summed = grams.groupBy("toxic", "gram").agg(
+        F.sum(F.when(F.col("half") == 0, F.col("n")).otherwise(0)).alias("first"), F.sum("n").alias("all")
+    ).toPandas()
+
+    def counts(which: str) -> dict:
+        own = {c: summed[(summed["toxic"] == c) & (summed[which] > 0)] for c in (0, 1)}
+        return {c: (x["gram"].to_numpy(np.int64).view(np.uint64), x[which].to_numpy(float)) for c, x in own.items()}
+
+    if not all(len(k) for k, _ in counts("first").values()):
         return None
-    model = ratios(counts)
-    shared = spark.sparkContext.broadcast(model)
+    model = ratios(counts("first"))
+    the_model = shared(spark, model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([list(_features(d.lower(), shared.value)) for d in texts(batch.column(0))], pa.list_(pa.float64())), batch.column(1)],
+                [pa.array([list(_features(apart(d), the_model())) for d in texts(batch.column(0))], pa.list_(pa.float64())), batch.column(1)],
                 ["x", "toxic"],
             )
 
@@ -243,7 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> Classifier
         return None
     x = np.column_stack([np.array(seen["x"].tolist()), np.ones(len(seen))])
     scale = np.r_[x[:, :-1].std(axis=0) + 1e-12, 1.0]
-    return Classifier(model, _logistic(x / scale, seen["toxic"].to_numpy(float)) / scale)
+    return Classifier(ratios(counts("all")), _logistic(x / scale, seen["toxic"].to_numpy(float)) / scale)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> DataFrame:
@@ -260,12 +271,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> DataF
         return docs.withColumns(
             {"held_out": held, "score": F.lit(0.0), "predicted": F.lit(0)}
         )
-    shared = docs.sparkSession.sparkContext.broadcast(classifier)
+    the_classifier = shared(docs.sparkSession, classifier)
     at = docs.columns.index("text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = shared.value.scores(texts(batch.column(at)))
+            scores = the_classifier().scores(texts(batch.column(at)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, "score"])
 
     small_batches(docs.sparkSession)
