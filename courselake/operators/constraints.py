@@ -178,7 +178,7 @@ def check_report(tables: dict[str, DataFrame]) -> DataFrame:
 
 def enforce(reports: list[DataFrame]) -> None:
     """Raise when any report holds a violation. Reads a handful of summary rows."""
-    broken = _union(reports).filter(F.col("violations") > 0).limit(20).collect()
+    broken = _union(reports).filter(F.col("violations") > 0).collect()
     if broken:
         text = "; ".join(f"{r.table_name}: {r.constraint_name} ({r.violations})" for r in broken)
         raise ValueError(f"Constraint violations: {text}")

@@ -85,17 +85,20 @@ def _engagement_rows(weekly: DataFrame, last_week: int) -> DataFrame:
 
 
 def _pack_event(due_day: str, assessment: str, adverse: str) -> Column:
-    """An assessment as one long that sorts by (due day, id). Longs aggregate by hash."""
-    low = F.col(assessment).cast("long") * 2 + F.col(adverse)
-    return F.shiftleft(F.col(due_day).cast("long"), 32) + low
+    """An assessment as one long that sorts by (due day, id). Longs aggregate by hash.
+
+    Ids are moved to start at 0, so any 32-bit id fits; days may have 31 bits.
+    """
+    low = (F.col(assessment).cast("long") + (1 << 31)) * 2 + F.col(adverse)
+    return F.shiftleft(F.col(due_day).cast("long"), 33) + low
 
 
 def _event_due_day(event: Column) -> Column:
-    return F.shiftright(event, 32).cast("int")
+    return F.shiftright(event, 33).cast("int")
 
 
 def _event_assessment(event: Column) -> Column:
-    return F.shiftright(event.bitwiseAND(F.lit((1 << 32) - 1)), 1).cast("int")
+    return (F.shiftright(event.bitwiseAND(F.lit((1 << 33) - 1)), 1) - (1 << 31)).cast("int")
 
 
 def _event_adverse(event: Column) -> Column:
