@@ -9,6 +9,7 @@ fitted numbers (a few per feature) reach the driver.
 from __future__ import annotations
 
 import math
+import random
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -233,62 +234,73 @@ def coefficients(model: PipelineModel) -> DataFrame:
     )
 
 
-def sample_rows(df: DataFrame, n: int, seed: int = RANDOM_SEED) -> DataFrame:
-    """A fixed pseudo-random sample of at most n rows: the n smallest key hashes."""
-    key = F.xxhash64(*ATTEMPT_WEEK, F.lit(seed))
-    return df.withColumn("_order", key).orderBy("_order", *ATTEMPT_WEEK).limit(n)
+def numbered_rows(df: DataFrame, seed: int = RANDOM_SEED) -> DataFrame:
+    """``df`` with ``_row``: 0, 1, 2 .. in the order of a hash of the key.
+
+    Counted per hash bucket; a window inside the bucket and one over the bucket counts give
+    the number, so no task sees more than a bucket or the list of buckets.
+    """
+    ordered = df.withColumn("_order", F.xxhash64(*ATTEMPT_WEEK, F.lit(seed))).withColumn(
+        "_bucket", F.shiftright("_order", 48)
+    )
+    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ordered.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows")).select(
+        "_bucket", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset")
+    )
+    inside = Window.partitionBy("_bucket").orderBy("_order", *ATTEMPT_WEEK)
+    return (
+        ordered.join(offsets, "_bucket")
+        .withColumn("_row", F.col("_offset") + F.row_number().over(inside) - 1)
+        .drop("_order", "_bucket", "_offset")
+    )
 
 
-def permuted_copies(sample: DataFrame, repeats: int, seed: int = RANDOM_SEED) -> DataFrame:
-    """The sample once per feature and repeat, with that feature shuffled among its rows.
+def permuted_copies(df: DataFrame, repeats: int, seed: int = RANDOM_SEED) -> DataFrame:
+    """All rows once per feature and repeat, with that feature shuffled among them.
 
-    The sample is numbered; each copy is numbered again in a random order, and the
-    row with that number gives its value. Both numberings run over the sample only.
+    Rows are numbered in a random order. In repeat r, a row takes its value from the row a
+    random distance ahead, going round: a permutation, met by an even join on the number.
+    The copies per feature are made after that join and are not shuffled.
     """
-    numbered = sample.withColumn(
-        "_row", F.row_number().over(Window.orderBy("_order", *ATTEMPT_WEEK))
+    numbered = numbered_rows(df, seed)
+    n = df.count()
+    steps = random.Random(seed)
+    ahead = [F.lit(steps.randrange(1, n) if n > 1 else 0).cast("long") for _ in range(repeats)]
+    repeat = F.explode(
+        F.array(*[F.struct(F.lit(r).alias("repeat"), d.alias("by")) for r, d in enumerate(ahead)])
     )
-    copies = F.explode(
-        F.array(
+    drawn = (
+        numbered.withColumn("_repeat", repeat)
+        .withColumn("repeat", F.col("_repeat.repeat"))
+        .withColumn("_donor", (F.col("_row") + F.col("_repeat.by")) % F.lit(max(n, 1)))
+    )
+    donors = numbered.select(F.col("_row").alias("_donor"), F.struct(*FEATURES).alias("_values"))
+    kept = [c for c in df.columns if c not in FEATURES]
+    return (
+        drawn.join(donors, "_donor")
+        .withColumn("feature", F.explode(F.array(*[F.lit(f) for f in FEATURES])))
+        .select(
+            *kept,
+            "feature",
+            "repeat",
             *[
-                F.struct(F.lit(f).alias("feature"), F.lit(r).alias("repeat"))
+                F.when(F.col("feature") == f, F.col("_values")[f]).otherwise(F.col(f)).alias(f)
                 for f in FEATURES
-                for r in range(repeats)
-            ]
+            ],
         )
     )
-    exploded = numbered.withColumn("_copy", copies).select("*", "_copy.feature", "_copy.repeat")
-    shuffled = Window.partitionBy("feature", "repeat").orderBy(
-        F.xxhash64("_row", "feature", "repeat", F.lit(seed)), "_row"
-    )
-    drawn = exploded.withColumn("_donor", F.row_number().over(shuffled))
-    donors = numbered.select(
-        F.col("_row").alias("_donor"), F.struct(*FEATURES).alias("_values")
-    )
-    kept = [c for c in sample.columns if c not in FEATURES and c != "_order"]
-    return drawn.join(donors, "_donor").select(
-        *kept,
-        "feature",
-        "repeat",
-        *[
-            F.when(F.col("feature") == f, F.col("_values")[f]).otherwise(F.col(f)).alias(f)
-            for f in FEATURES
-        ],
-    )
 
 
 def permutation_importance(
     model: PipelineModel,
     df: DataFrame,
     label: str = ASSESSMENT_TARGET,
-    n: int = 5000,
     repeats: int = 3,
     seed: int = RANDOM_SEED,
 ) -> DataFrame:
-    """Loss of average precision when a feature is shuffled, over a sample of n rows."""
-    sample = sample_rows(df, n, seed)
-    whole = sample.drop("_order").withColumns({"feature": F.lit("-"), "repeat": F.lit(0)})
-    frame = whole.unionByName(permuted_copies(sample, repeats, seed))
+    """Loss of average precision when a feature is shuffled, over all rows."""
+    whole = df.withColumns({"feature": F.lit("-"), "repeat": F.lit(0)})
+    frame = whole.unionByName(permuted_copies(df, repeats, seed))
     scored = score(model, frame).withColumn("y", F.col(label))
     quality = evaluate(scored, by=("feature", "repeat")).select("feature", "repeat", "pr_auc")
     base = quality.filter("feature = '-'").select("pr_auc").scalar()

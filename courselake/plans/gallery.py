@@ -95,45 +95,29 @@ def weekly_sample(weekly: DataFrame, n: int = 100) -> DataFrame:
     return _modelled(weekly).orderBy(*ATTEMPT_WEEK).limit(n)
 
 
-def _first_attempts(weekly: DataFrame, n: int) -> DataFrame:
-    """The observed weeks of the attempts that come first in key order.
-
-    The report shows the first n rows in key order. Each attempt has a row, so these
-    rows belong to the first n attempts, and the windows need no other attempt.
-    """
-    observed = _modelled(weekly)
-    first = observed.select(*ATTEMPT).distinct().orderBy(*ATTEMPT).limit(n)
-    return observed.join(first, ATTEMPT, "left_semi")
-
-
-def previous_observed_week(weekly: DataFrame, n: int = 100) -> DataFrame:
+def previous_observed_week(weekly: DataFrame) -> DataFrame:
     """Clicks of the previous observed week; weeks without activity are skipped over."""
     by_week = Window.partitionBy(*ATTEMPT).orderBy("course_week")
-    return (
-        _first_attempts(weekly, n)
-        .select(
-            *ATTEMPT_WEEK,
-            "click_count",
-            F.lag("click_count").over(by_week).alias("previous_observed_week_clicks"),
-        )
-        .orderBy(*ATTEMPT_WEEK)
-        .limit(n)
+    return _modelled(weekly).select(
+        *ATTEMPT_WEEK,
+        "click_count",
+        F.lag("click_count").over(by_week).alias("previous_observed_week_clicks"),
     )
 
 
-def rolling_two_weeks(weekly: DataFrame, n: int = 100) -> DataFrame:
+def rolling_two_weeks(weekly: DataFrame) -> DataFrame:
     """Clicks over this and the previous observed week."""
     by_week = Window.partitionBy(*ATTEMPT).orderBy("course_week").rowsBetween(-1, 0)
-    return (
-        _first_attempts(weekly, n)
-        .select(
-            *ATTEMPT_WEEK, F.sum("click_count").over(by_week).alias("rolling_14_day_clicks")
-        )
-        .orderBy(*ATTEMPT_WEEK)
-        .limit(n)
+    return _modelled(weekly).select(
+        *ATTEMPT_WEEK, F.sum("click_count").over(by_week).alias("rolling_14_day_clicks")
     )
 
 
+def first_weeks(rows: DataFrame, n: int = 100) -> DataFrame:
+    """The report's rows: the first n in key order."""
+    return rows.orderBy(*ATTEMPT_WEEK).limit(n)
+
+
 def cohort_percentile(weekly: DataFrame) -> DataFrame:
     """Share of the weekly cohort that each attempt is ahead of.
 
@@ -196,25 +180,27 @@ def withdrawal_alignment(aligned: DataFrame) -> DataFrame:
     )
 
 
-def cumulative_progress(progress: DataFrame, n: int = 100) -> DataFrame:
+def cumulative_progress(progress: DataFrame) -> DataFrame:
     """Running weighted score of each attempt in order of due day."""
-    first = progress.select(*ATTEMPT).distinct().orderBy(*ATTEMPT).limit(n)
     by_due = (
         Window.partitionBy(*ATTEMPT)
         .orderBy("due_day", "id_assessment")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     weighted = (F.coalesce("score", F.lit(0)) * F.col("weight")).cast("decimal(12,4)")
+    return progress.select(
+        *ATTEMPT,
+        "due_day",
+        "id_assessment",
+        (F.sum(weighted).over(by_due) / F.lit(100).cast("decimal(3,0)")).alias(
+            "cumulative_weighted_progress"
+        ),
+    )
+
+
+def cumulative_progress_report(progress: DataFrame, n: int = 100) -> DataFrame:
     return (
-        progress.join(first, ATTEMPT, "left_semi")
-        .select(
-            *ATTEMPT,
-            "due_day",
-            "id_assessment",
-            (F.sum(weighted).over(by_due) / F.lit(100).cast("decimal(3,0)")).alias(
-                "cumulative_weighted_progress"
-            ),
-        )
+        cumulative_progress(progress)
         .orderBy(*ATTEMPT, "due_day", "id_assessment")
         .limit(n)
         .drop("id_assessment")

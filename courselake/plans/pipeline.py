@@ -18,7 +18,7 @@ from courselake.schemas import (
     SUBMISSION,
 )
 from courselake.session import sized_shuffles
-from courselake.sources.files import file_digests, land_folder, require_files
+from courselake.sources.files import file_digests, land_folder, require_digests, require_files
 from courselake.sources.shelf import folder_size
 from courselake.sources.tables import write_results, write_table
 
@@ -56,11 +56,17 @@ def ingest(spark: SparkSession, source: str, lake: Layers) -> dict[str, DataFram
     return {t: lake.store(df, "raw", t) for t, df in land_folder(spark, source).items()}
 
 
-def profile(spark: SparkSession, source: str, raw: dict[str, DataFrame], lake: Layers) -> None:
-    """Audit tables of the raw layer."""
+def profile(
+    spark: SparkSession, source: str, raw: dict[str, DataFrame], lake: Layers, expected_digests=None
+) -> None:
+    """Audit tables of the raw layer; stops when a file's digest isn't the expected one."""
     files = audit.file_profile(raw)
+    digests = file_digests(spark, source)
+    if expected_digests is not None:
+        digests = lake.store(digests, "quality", "file_digests")
+        require_digests(digests, expected_digests)
     tables = {
-        "file_profile": audit.narrow_profile(files, file_digests(spark, source)),
+        "file_profile": audit.narrow_profile(files, digests),
         "missing_cells": audit.missing_report(raw),
         "calculated_scale": audit.calculated_scale(raw),
         "anomalies": audit.anomalies(raw),
@@ -156,16 +162,20 @@ def build_lake(
     root: str,
     expected_rows: dict[str, int] | None = None,
     missing_rule: str = "reference",
+    expected_digests: DataFrame | None = None,
 ) -> Layers:
-    """The whole batch run; any failed gate or guard stops it."""
+    """The whole batch run; any failed gate or guard stops it.
+
+    ``expected_digests`` holds (part, sha256) per landing file.
+    """
     with sized_shuffles(spark, folder_size(spark, source).bytes):
-        return _build(spark, source, root, expected_rows, missing_rule)
+        return _build(spark, source, root, expected_rows, missing_rule, expected_digests)
 
 
-def _build(spark, source, root, expected_rows, missing_rule) -> Layers:
+def _build(spark, source, root, expected_rows, missing_rule, expected_digests) -> Layers:
     lake = Layers(spark, root)
     raw = ingest(spark, source, lake)
-    profile(spark, source, raw, lake)
+    profile(spark, source, raw, lake, expected_digests)
     core_results = build_core(raw, lake, expected_rows)
     snapshots = build_marts(lake, missing_rule)
     snapshot_results = quality.run_checks(quality.snapshot_checks(), {"snapshots": snapshots})

@@ -531,11 +531,21 @@ def _(lake: Lake) -> DataFrame:
 
 
 @query("gal_08")
+def _(lake: Lake) -> DataFrame:
+    return gallery.first_weeks(gallery.previous_observed_week(lake.weekly))
+
+
+@query("gal_08_all")
 def _(lake: Lake) -> DataFrame:
     return gallery.previous_observed_week(lake.weekly)
 
 
 @query("gal_09")
+def _(lake: Lake) -> DataFrame:
+    return gallery.first_weeks(gallery.rolling_two_weeks(lake.weekly))
+
+
+@query("gal_09_all")
 def _(lake: Lake) -> DataFrame:
     return gallery.rolling_two_weeks(lake.weekly)
 
@@ -561,6 +571,11 @@ def _(lake: Lake) -> DataFrame:
 
 
 @query("gal_13")
+def _(lake: Lake) -> DataFrame:
+    return gallery.cumulative_progress_report(lake.progress)
+
+
+@query("gal_13_all")
 def _(lake: Lake) -> DataFrame:
     return gallery.cumulative_progress(lake.progress)
 

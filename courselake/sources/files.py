@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Iterator
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,15 +70,44 @@ def require_files(spark: SparkSession, folder: str, expected: list[str]) -> None
         raise FileNotFoundError(f"Missing from {folder}: {absent}")
 
 
-def file_digests(spark: SparkSession, folder: str) -> DataFrame:
-    """SHA-256 of every file below a folder, one file per task.
+BLOCK = 8 << 20
 
-    A digest is sequential by nature, so the unit of parallel work is a file; the
-    binary source refuses a file above 2 GB, which must then land in parts.
+
+def _digests_in_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The digest of each path, read in blocks, so that a task holds one block."""
+    for frame in frames:
+        sums = []
+        for path in frame["path"]:
+            if path.startswith("file:"):
+                system, inside = fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+            else:
+                system, inside = fs.FileSystem.from_uri(path)
+            digest = hashlib.sha256()
+            with system.open_input_stream(inside) as stream:
+                while block := stream.read(BLOCK):
+                    digest.update(block)
+            sums.append(digest.hexdigest())
+        yield frame.drop(columns="path").assign(sha256=sums)
+
+
+def file_digests(spark: SparkSession, folder: str, whole_up_to: int = 256 << 20) -> DataFrame:
+    """SHA-256 of every file below a folder. A digest is sequential, so a task takes whole files.
+
+    Files up to ``whole_up_to`` bytes are digested by the binary source, which holds a file in
+    one row; larger ones are read in blocks. The size condition reaches the source, so neither
+    side reads the other's files.
     """
-    return _listing(spark, folder).select(
-        "file", "part", "length", F.sha2("content", 256).alias("sha256")
+    listing = _listing(spark, folder)
+    columns = ["file", "part", "length"]
+    small = listing.filter(F.col("length") <= whole_up_to).select(
+        *columns, F.sha2("content", 256).alias("sha256")
     )
+    large = (
+        listing.filter(F.col("length") > whole_up_to)
+        .select("path", *columns)
+        .mapInPandas(_digests_in_blocks, "file string, part string, length long, sha256 string")
+    )
+    return small.unionByName(large)
 
 
 def compare_digests(digests: DataFrame, expected: DataFrame) -> DataFrame:
@@ -85,3 +118,9 @@ def compare_digests(digests: DataFrame, expected: DataFrame) -> DataFrame:
         .join(actual, "part", "left")
         .filter(~F.col("expected").eqNullSafe(F.col("actual")))
     )
+
+
+def require_digests(digests: DataFrame, expected: DataFrame) -> None:
+    differing = sorted(r.part for r in compare_digests(digests, expected).collect())
+    if differing:
+        raise ValueError(f"Files absent or with another digest: {differing}")

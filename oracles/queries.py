@@ -663,21 +663,17 @@ add(
 )
 WEEKS = "course_week BETWEEN 0 AND 12"
 add("gal_07", "weekly", f"SELECT * FROM weekly WHERE {WEEKS} ORDER BY {AKW} LIMIT 100")
-add(
-    "gal_08",
-    "weekly",
-    f"""SELECT {AKW}, click_count,
+PREVIOUS = f"""SELECT {AKW}, click_count,
                lag(click_count) OVER (PARTITION BY {AK} ORDER BY course_week)
                  AS previous_observed_week_clicks
-        FROM weekly WHERE {WEEKS} ORDER BY {AKW} LIMIT 100""",
-)
-add(
-    "gal_09",
-    "weekly",
-    f"""SELECT {AKW}, sum(click_count) OVER (PARTITION BY {AK} ORDER BY course_week
+        FROM weekly WHERE {WEEKS}"""
+add("gal_08", "weekly", f"{PREVIOUS} ORDER BY {AKW} LIMIT 100")
+add("gal_08_all", "weekly", PREVIOUS)
+ROLLING = f"""SELECT {AKW}, sum(click_count) OVER (PARTITION BY {AK} ORDER BY course_week
                ROWS 1 PRECEDING)::BIGINT AS rolling_14_day_clicks
-        FROM weekly WHERE {WEEKS} ORDER BY {AKW} LIMIT 100""",
-)
+        FROM weekly WHERE {WEEKS}"""
+add("gal_09", "weekly", f"{ROLLING} ORDER BY {AKW} LIMIT 100")
+add("gal_09_all", "weekly", ROLLING)
 RANK = f"""SELECT {AKW}, click_count,
                round(percent_rank() OVER (PARTITION BY {PK}, course_week ORDER BY click_count), 6)
                  AS cohort_activity_percentile
@@ -716,6 +712,15 @@ add(
                  AS cumulative_weighted_progress
         FROM progress ORDER BY {AK}, due_day, id_assessment LIMIT 100""",
 )
+add(
+    "gal_13_all",
+    "progress",
+    f"""SELECT {AK}, due_day, id_assessment,
+               sum((coalesce(score, 0) * 100)::BIGINT * (weight * 100)::BIGINT)
+                 OVER (PARTITION BY {AK} ORDER BY due_day, id_assessment)::DOUBLE / 1000000
+                 AS cumulative_weighted_progress
+        FROM progress""",
+)
 add("gal_14", "snapshots", f"SELECT * FROM snapshots ORDER BY {AKW} LIMIT 100")
 ORACLES["gal_15_json"] = """SELECT event_type, json_extract_string(props, '$.k') AS json_value,
        count(*) AS rows FROM events GROUP BY 1, 2"""

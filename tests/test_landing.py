@@ -60,6 +60,25 @@ def test_digest(spark, tmp_path):
                                      "part string, sha256 string")
     differing = files.compare_digests(digests, expected).collect()
     assert {r.part: r.actual is None for r in differing} == {"a.bin": False, "b.bin": True}
+    with pytest.raises(ValueError, match="a.bin.*b.bin"):
+        files.require_digests(digests, expected)
+
+
+def test_digest_of_a_file_above_two_gigabytes(spark, tmp_path):
+    folder = tmp_path / "files"
+    folder.mkdir()
+    (folder / "a.bin").write_bytes(b"lake\n")
+    size = (2 << 30) + 5
+    with open(folder / "large file.bin", "wb") as sparse:
+        sparse.truncate(size)
+    whole = hashlib.sha256()
+    for at in range(0, size, 1 << 24):
+        whole.update(bytes(min(1 << 24, size - at)))
+    got = {r.part: (r.length, r.sha256) for r in files.file_digests(spark, str(folder)).collect()}
+    assert got == {
+        "a.bin": (5, hashlib.sha256(b"lake\n").hexdigest()),
+        "large file.bin": (size, whole.hexdigest()),
+    }
 
 
 def test_staging_trims_and_blanks(spark):

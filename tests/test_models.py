@@ -133,11 +133,13 @@ def test_rule_counts_unknown_activity_as_inactive(spark):
 
 
 def test_permutation_copies_shuffle_one_column(lake):
-    sample = models.sample_rows(lake.split("test"), 50)
-    assert sample.count() == 50
-    copies = models.permuted_copies(sample, 2).toPandas()
-    base = sample.toPandas()
-    assert len(copies) == 50 * 2 * len(models.FEATURES)
+    rows = lake.split("test")
+    n = rows.count()
+    numbers = [r._row for r in models.numbered_rows(rows).select("_row").collect()]
+    assert sorted(numbers) == list(range(n))
+    copies = models.permuted_copies(rows, 2).toPandas()
+    base = rows.toPandas()
+    assert len(copies) == n * 2 * len(models.FEATURES)
     one = copies[(copies.feature == "clicks_to_date") & (copies.repeat == 1)]
     assert sorted(one.clicks_to_date) == sorted(base.clicks_to_date)
     key = ["code_module", "code_presentation", "id_student", "course_week"]
