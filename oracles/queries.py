@@ -1001,7 +1001,8 @@ add(
 add(
     "run_metadata",
     "scored",
-    """SELECT 'next assessment is missing by its due day or scores below the pass mark' AS target,
+    """SELECT 'next assessment is never handed in or scores below the pass mark' AS target,
+       'missing_due_to_date counts due assessments that are never handed in' AS missing_rule,
        (SELECT string_agg(DISTINCT code_presentation, ',' ORDER BY code_presentation)
         FROM scored WHERE split = 'train') AS train,
        (SELECT string_agg(DISTINCT code_presentation, ',' ORDER BY code_presentation)
