@@ -69,6 +69,9 @@ def search_block(q_ids, q, c_ids, c, turn: np.ndarray, k: int, head: int, step:
     qr, cr = q @ turn, c @ turn
     q_len, c_len = np.linalg.norm(qr, axis=1), np.linalg.norm(cr, axis=1)
     q_rest, c_rest = np.linalg.norm(qr[:, head:], axis=1), np.linalg.norm(cr[:, head:], axis=1)
+    # below 2^52 every partial sum is a whole number that doubles hold, so the fast product is exact
+    if q_len.max() * c_len[0] < 2.0**52:
+        q, c = q.astype(float), c.astype(float)
     n, worst = len(q), -(2**62)
     best = np.full((n, k), worst)  # scores, descending
     best_id = np.full((n, k), np.iinfo(np.int64).max)
@@ -89,6 +92,7 @@ def search_block(q_ids, q, c_ids, c, turn: np.ndarray, k: int, head: int, step:
             score = (q[live] @ c[part].T)[rows, cols]
         else:
             score = np.einsum("ij,ij->i", q[live[rows]], c[part][cols])
+        score = score.astype(np.int64)
         where = live[rows]
         # the running best and the newcomers, best first per query
         all_q = np.concatenate([np.repeat(live, k), where])
