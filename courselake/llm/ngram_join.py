@@ -325,28 +325,33 @@ def linked_within(nodes: np.ndarray, sets: list[np.ndarray], asks: np.ndarray, l
 
 
 def _links(sets: DataFrame, blocks: DataFrame, similarity: Fraction, block_shingles: int) -> DataFrame:
-    """Edges between linked nodes, by block. A block above ``block_shingles`` is cut into segments:
-    every set is listed in its own segment and asks in its own and all later ones."""
+    """Edges between linked nodes, by block. A block above ``block_shingles`` is cut into segments,
+    and each pair of segments is one group: the first one's sets ask, the second one's are listed.
+    So a task holds two segments at most, however large the block."""
     own = sets.join(blocks, "node")
     segments = own.groupBy("label").agg(
-        F.greatest(F.lit(1), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("segments")
+        F.least(F.count("*"), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("segments")
     )
     home = F.pmod(F.xxhash64("node"), F.col("segments")).cast("int")
     placed = (
         own.join(segments, "label").withColumn("home", home)
-        .withColumn("segment", F.explode(F.sequence(F.col("home"), F.col("segments") - 1)))
-        .select("label", "segment", (F.col("home") == F.col("segment")).alias("listed"), "node", "hashes")
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("segments") - 1)))
+        .select(
+            "label", F.least("home", "other").alias("first"), F.greatest("home", "other").alias("second"),
+            (F.col("home") <= F.col("other")).alias("asks"), (F.col("home") >= F.col("other")).alias("listed"),
+            "node", "hashes",
+        )
     )
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node")
         nodes = pdf["node"].to_numpy()
         sets = [unpack_sorted(h) for h in pdf["hashes"]]
-        listed = pdf["listed"].to_numpy(bool)
-        edges = linked_within(nodes, sets, np.ones(len(sets), bool), listed, similarity) if listed.any() else []
+        asks, listed = pdf["asks"].to_numpy(bool), pdf["listed"].to_numpy(bool)
+        edges = linked_within(nodes, sets, asks, listed, similarity) if listed.any() else []
         return pd.DataFrame(np.array(edges, np.int64).reshape(-1, 2), columns=["a", "b"])
 
-    return placed.groupBy("label", "segment").applyInPandas(search, "a long, b long")
+    return placed.groupBy("label", "first", "second").applyInPandas(search, "a long, b long")
 
 
 def ngram_components(
