@@ -98,6 +98,47 @@ def test_leaks_are_found_and_clean_documents_left_alone(spark):
     assert {(x["doc_id"], x["l"]["item_id"]) for x in many.select("doc_id", F.explode("leaks").alias("l")).collect()} == got
 
 
+def test_leaks_with_swapped_rare_words_are_found(spark):
+    """Against brute force over every place: only common words of an item are left."""
+    r = random.Random(12)
+    odd = lambda: "".join(r.choice("klmnopqrstuvw") for _ in range(9))
+    common = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(60)]
+    some = lambda: r.choice(common)
+    items = []
+    for i in range(12):
+        words = [some() for _ in range(r.randint(15, 60))]
+        for k in r.sample(range(len(words)), len(words) // 5):
+            words[k] = odd()
+        items.append((i, " ".join(words) + "."))
+    rows = []
+    for i in range(120):
+        text = [some() if r.random() < 0.6 else odd() for _ in range(r.randint(0, 300))]
+        if i % 2 == 0:
+            own = items[i % 12][1].strip(".").split()
+            lost = r.choice([0, 0, 1, 3])  # words that go with the rare ones
+            kept = [odd() if len(w) == 9 else w for w in own]
+            for k in r.sample(range(len(kept)), lost):
+                kept[k] = odd()
+            at = r.randint(0, len(text))
+            text[at:at] = kept
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = decontamination.with_leaks(docs, spark.createDataFrame(items, "item_id long, text string"))
+    got = {(x["doc_id"], x["l"]["item_id"]) for x in found.select("doc_id", F.explode("leaks").alias("l")).collect()}
+    want = set()
+    for item_id, t in items:
+        item, answer = (decontamination.terms(x) for x in (t, decontamination.answer_of(t)))
+        n, of_item, of_answer = len(item), decontamination.bit_masks(item), decontamination.bit_masks(answer)
+        for doc_id, text in rows:
+            words = decontamination.terms(text).tolist()
+            for k in range(len(words)):
+                place = words[k : k + n + 2 * (n // 4 + decontamination.STRIDE)]
+                share = decontamination.common_length(of_item, n, place) / n
+                if share >= 0.8 or share >= 0.6 and decontamination.common_length(of_answer, len(answer), place) >= 0.8 * len(answer):
+                    want.add((doc_id, item_id))
+    assert got == want and len(want) >= 30
+
+
 # ---- 2
 
 
