@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from courselake.llm.common import SPACE, learns, map_arrow, shared, slices, small_batches, stored, texts
+from courselake.llm.common import SPACE, WORD, learns, map_arrow, shared, slices, small_batches, stored, texts
 
 ORDER = 5
 STRONG = 7.0  # log ratio of a word from which it counts as a toxic one
@@ -188,9 +189,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> Classifier | None:
     """Learns from a bounded sample: of each class, at most ``per_class`` labelled documents, those
     with the smallest digests of their ids. Held-out rows (crc32 of the id mod 5 is 0) are no part
-    of it. The features' weights are learned on six sixteenths of the sample
-    under the counts of the rest; then all of it is counted. None if a
-    class has fewer than two documents.
+    of it. The features' weights are learned on six of each sixteen documents of
+    a class, by rank of their digests, under the counts of the rest; then all of it is counted.
+    None if a class has fewer than two documents.
     """
     spark = docs.sparkSession
     marked = labels.where(F.col("toxic").isin(0, 1) & learns(F.col("doc_id"), 5, 0)).select(
@@ -206,10 +207,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> Classifier
     chosen = stored(chosen)
     small_batches(spark)
     few = F.broadcast(chosen)  # at most 2 * per_class rows of two numbers
-    sample = stored(
-        docs.select("doc_id", "text").join(few, "doc_id").select("doc_id", "text", "toxic")
-        .withColumn("_n", order).withColumn("half", (F.conv(F.substring("_n", 32, 1), 16, 10).cast("int") > 9).cast("int")).drop("_n")
-    )
+    sample = stored(docs.select("doc_id", "text").join(few, "doc_id").select("doc_id", "text", "toxic"))
+    # at most 2 * per_class rows; texts with words come first, as only they teach grams
+    words = F.max(F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
+    ranked = sample.groupBy("doc_id", "toxic").agg(words.alias("words")).orderBy(F.desc("words"), order).collect()
+    halves = [(r["doc_id"], int(n % 8 in (1, 4, 6))) for c in (0, 1) for n, r in enumerate(r for r in ranked if r["toxic"] == c)]
+    of_id = spark.createDataFrame(halves, StructType([sample.schema["doc_id"], StructField("half", IntegerType())]))
+    sample = stored(sample.join(F.broadcast(of_id), "doc_id"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

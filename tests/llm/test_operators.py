@@ -1,6 +1,7 @@
 """The corpus operators against brute force, on small tables with nulls, ties and repeats."""
 
 import collections
+import hashlib
 import math
 import random
 import zlib
@@ -339,6 +340,18 @@ def test_toxicity_learns_words_and_stems(spark, docs, none):
     assert tox.toxicity(none, marks).count() == 0
 
 
+def test_two_labelled_documents_of_a_class_suffice(spark):
+    learned = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5]
+    side = lambda i: hashlib.md5(str(i).encode()).hexdigest()[-1] > "9"
+    for toxic in ([i for i in learned if not side(i)][:2], [i for i in learned if side(i)][:2]):
+        rows = [(i, "zoxqu " * 9 + prose(30, i) if i in toxic else prose(40, i)) for i in range(200)]
+        marks = [(i, 1, int(i in toxic)) for i in range(200) if i in toxic or i in learned]
+        marks += [(900, 1, 1), (901, 1, 1)]
+        d = spark.createDataFrame([*rows, (900, None), (901, " ")], "doc_id long, text string")
+        out = tox.toxicity(d, spark.createDataFrame(marks, "doc_id long, quality int, toxic int")).collect()
+        assert len(out) == 202 and {r["doc_id"] for r in out if r["predicted"]} == set(toxic)
+
+
 # ---- 9
 
 
