@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courselake.llm.common import table
+from courselake.llm.conversation_trie import spliced_trie
 from courselake.llm.curriculum import curriculum, in_training_order
 from courselake.llm.decontamination import with_leaks
+from courselake.llm.hard_negatives import hard_negatives
 from courselake.llm.language_model import lm_scores
 from courselake.llm.ngram_join import ngram_components
 from courselake.llm.preferences import pair_by_number, preference_pairs
@@ -29,7 +31,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = curriculum(table(spark, sf_dir, "documents"))
     return in_training_order(plan).select(
-        "doc_id", "size", "source_size", "target", "taken", "copies", "position"
+        "doc_id", "size", "source_size", "target", "taken", "copies", F.round("position", 6).alias("position")
     )
 
 
@@ -77,6 +79,16 @@ def op10_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", moved))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spliced_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_curriculum": op2_curriculum,
@@ -88,4 +100,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
     "op10_backoff_automaton": op10_backoff_automaton,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_conversation_trie": op13_conversation_trie,
 }
