@@ -16,6 +16,7 @@ from courselake.llm.language_model import lm_scores
 from courselake.llm.ngram_join import ngram_components
 from courselake.llm.preferences import pair_by_number, preference_pairs
 from courselake.llm.pseudonyms import pseudonymised
+from courselake.llm.repeats import repeated_spans
 from courselake.llm.sharding import histogram_shards
 from courselake.llm.token_counts import token_counts
 from courselake.llm.topk import top_inner_products
@@ -79,6 +80,11 @@ def op10_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op11_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repeated_spans(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -100,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
     "op10_backoff_automaton": op10_backoff_automaton,
+    "op11_repeated_spans": op11_repeated_spans,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_conversation_trie": op13_conversation_trie,
 }
