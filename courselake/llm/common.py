@@ -128,11 +128,48 @@ def texts(column: pa.Array) -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of these edges and the smallest node that each is connected with."""
+    nodes, at = np.unique(np.r_[a, b], return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    parent = np.arange(len(nodes))
+    while (parent[x] != parent[y]).any():
+        low = np.minimum(parent[x], parent[y])
+        np.minimum.at(parent, parent[x], low)
+        np.minimum.at(parent, parent[y], low)
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+    return nodes, nodes[parent]
+
+
+def _contracted(edges: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """The edges with what each task holds, ``most`` at a time, replaced by (node, smallest node)."""
+
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def stars(some: list) -> pa.RecordBatch:
+            node, root = roots(*(np.concatenate(c) for c in zip(*some)))
+            child = node != root
+            return pa.RecordBatch.from_arrays([pa.array(node[child]), pa.array(root[child])], ["a", "b"])
+
+        some, n = [], 0
+        for batch in batches:
+            some.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            n += batch.num_rows
+            if n >= most:
+                yield stars(some)
+                some, n = [], 0
+        if some:
+            yield stars(some)
+
+    return map_arrow(edges.select("a", "b"), contract, "a long, b long")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, label) with the smallest node of each component, from edges (a, b) of longs.
 
-    Large-star and small-star steps in turn; each round is stored, and the loop ends when a
-    round leaves the edges as they were.
+    Tasks contract the edges they hold; large-star and small-star steps in turn connect what lies
+    in several tasks. Each round is stored, and the loop ends when the edges are stars: no centre
+    has a centre of its own and no node has two.
     """
 
     def stars(e: DataFrame, large: bool) -> DataFrame:
@@ -150,13 +187,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
             )
         return linked.where("a <> b").distinct()
 
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-    edges = stored(edges.where("a <> b").select("a", "b").distinct())
-    before = None
-    while (now := mark(edges)) != before:
-        before = now
-        edges = stored(stars(stars(edges, True), False))
-    label = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
-    return label.union(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+    def settled(e: DataFrame) -> bool:
+        ends = e.select(F.col("a").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("centre")).union(
+            e.select("b", F.lit(0), F.lit(1))
+        )
+        facts = ends.groupBy("node").agg(F.sum("child").alias("child"), F.max("centre").alias("centre"))
+        return facts.where((F.col("child") > 1) | ((F.col("child") > 0) & (F.col("centre") > 0))).isEmpty()
+
+    edges = stored(_contracted(edges.where("a <> b").select("a", "b").distinct()))
+    while not settled(edges):
+        edges = stored(_contracted(stars(stars(edges, True), False)))
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(
+        edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
+    )

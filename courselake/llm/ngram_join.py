@@ -373,11 +373,12 @@ def ngram_components(
     sets = stored(_sets(docs, stored(kept.select("doc_id", "node")), width))
     blocks = stored(_blocks(sets, similarity))
     groups = connected_components(stored(_links(sets, blocks, similarity, block_shingles)))
-    members = linkable.select("doc_id", "node").join(groups, "node", "left").select(
-        "node", "doc_id", F.coalesce("label", "node").alias("label")
+    # copies of a text share a node; they are counted as one before anything is joined by node
+    first = linkable.groupBy("node").agg(F.min("doc_id").alias("first")).join(groups, "node", "left").select(
+        "node", "first", F.coalesce("label", "node").alias("label")
     )
-    least = members.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named = members.select("node", "label").distinct().join(least, "label").select("node", "component_id")
+    least = first.groupBy("label").agg(F.min("first").alias("component_id"))
+    named = first.join(least, "label").select("node", "component_id")
     alone = F.when((F.col("n") == 0), F.col("doc_id"))
     return sketch.join(named, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
