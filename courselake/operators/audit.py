@@ -24,6 +24,52 @@ def file_profile(raw: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+FINGERPRINT_MODULUS = 1 << 53
+
+
+def fingerprint(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """One row: rows, and the sum (modulo 2^53) and exclusive or of 52-bit hashes of the rows' text.
+
+    The order of the rows does not matter, while a changed, swapped or repeated row does. A missing
+    cell, whether NULL, blank or marked, counts as one marker.
+    """
+    cells = []
+    for c in columns or df.columns:
+        text = F.col(c).cast("string")
+        cells.append(F.when(text.isNull() | text.isin(*MISSING_MARKERS), MISSING_MARKERS[-1]).otherwise(text))
+    digest = F.substring(F.md5(F.concat_ws("|", *cells).cast("binary")), 1, 13)
+    value = F.conv(digest, 16, 10).cast("long")
+    total = F.coalesce(F.sum(value.cast("decimal(38,0)")), F.lit(0)) % F.lit(FINGERPRINT_MODULUS)
+    return df.agg(
+        F.count(F.lit(1)).alias("rows"), total.cast("long").alias("hash_sum"),
+        F.coalesce(F.bit_xor(value), F.lit(0)).alias("hash_xor"),
+    )
+
+
+def landed_against_expected(expected: dict[str, DataFrame], landed: dict[str, DataFrame]) -> DataFrame:
+    """Per table the rows and fingerprint that were expected, those that landed, and whether they
+    agree. A table that did not land has no landed figures."""
+    parts = []
+    for table, rows in expected.items():
+        wanted = fingerprint(rows).toDF("expected_rows", "expected_sum", "expected_xor")
+        if table in landed:
+            found = fingerprint(landed[table], rows.columns).toDF("landed_rows", "landed_sum", "landed_xor")
+        else:
+            nothing = [F.lit(None).cast("long").alias(f"landed_{c}") for c in ("rows", "sum", "xor")]
+            found = rows.sparkSession.range(1).select(*nothing)
+        same = F.coalesce(
+            (F.col("expected_rows") == F.col("landed_rows")) & (F.col("expected_sum") == F.col("landed_sum"))
+            & (F.col("expected_xor") == F.col("landed_xor")),
+            F.lit(False),
+        )
+        parts.append(
+            wanted.join(found).select(  # one row each
+                F.lit(LANDING_FILES[table]).alias("file"), "*", same.alias("agrees")
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
 def missing_cells(df: DataFrame, markers: tuple[str, ...] = MISSING_MARKERS) -> DataFrame:
     """Missing cells per column in one pass; columns without any are left out.
 

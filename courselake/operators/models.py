@@ -94,8 +94,8 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _preparation(train: DataFrame) -> list:
-    """Fitted stages from snapshot columns to ``features``."""
+def preparation(train: DataFrame) -> list:
+    """Fitted stages from snapshot columns to ``features``; the fits of one split share them."""
     imputer = fit_imputer(train, NUMERIC_FEATURES)
     medians = imputer.first()
     scales = fit_scaler(apply_imputer(train, imputer), NUMERIC_FEATURES).first()
@@ -123,9 +123,9 @@ def feature_names(model: PipelineModel) -> list[str]:
     return names
 
 
-def _fit(train: DataFrame, label: str, estimator) -> PipelineModel:
-    """Preparation and estimator fitted on the training rows. Rows are prepared once."""
-    stages = _preparation(train)
+def _fit(train: DataFrame, label: str, estimator, stages: list | None) -> PipelineModel:
+    """The estimator fitted on the prepared training rows, after the stages that prepare them."""
+    stages = stages or preparation(train)
     weights = class_weights(train, label)
     prepared = PipelineModel(stages).transform(weigh(train, label, weights)).select(
         F.col(label).cast("double").alias("label"), "weight", "features"
@@ -134,7 +134,11 @@ def _fit(train: DataFrame, label: str, estimator) -> PipelineModel:
 
 
 def fit_logistic(
-    train: DataFrame, label: str = ASSESSMENT_TARGET, C: float = 0.5, max_iter: int = 1000
+    train: DataFrame,
+    label: str = ASSESSMENT_TARGET,
+    C: float = 0.5,
+    max_iter: int = 1000,
+    stages: list | None = None,
 ) -> PipelineModel:
     """L2 logistic regression, balanced classes.
 
@@ -151,11 +155,15 @@ def fit_logistic(
         maxIter=max_iter,
         tol=1e-8,
     )
-    return _fit(train, label, estimator)
+    return _fit(train, label, estimator, stages)
 
 
 def fit_tree(
-    train: DataFrame, label: str = ASSESSMENT_TARGET, depth: int = 5, leaf: int = 100
+    train: DataFrame,
+    label: str = ASSESSMENT_TARGET,
+    depth: int = 5,
+    leaf: int = 100,
+    stages: list | None = None,
 ) -> PipelineModel:
     """Decision tree, balanced classes. Splits are binned, so cut points are approximate."""
     estimator = DecisionTreeClassifier(
@@ -165,7 +173,7 @@ def fit_tree(
         maxBins=256,
         seed=RANDOM_SEED,
     )
-    return _fit(train, label, estimator)
+    return _fit(train, label, estimator, stages)
 
 
 def fit_gbt(
@@ -174,13 +182,14 @@ def fit_gbt(
     depth: int = 6,
     rate: float = 0.08,
     rounds: int = 150,
+    stages: list | None = None,
 ) -> PipelineModel:
     """Boosted trees, unweighted. MLlib has no leaf penalty, so scores differ somewhat."""
     estimator = GBTClassifier(
         maxDepth=depth, stepSize=rate, maxIter=rounds, maxBins=256, seed=RANDOM_SEED,
         minInstancesPerNode=20,  # fixed value: smallest leaf of the boosted trees
     )
-    return _fit(train, label, estimator)
+    return _fit(train, label, estimator, stages)
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:

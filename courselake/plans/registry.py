@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +22,11 @@ from courselake.operators import (
     features,
     marts,
     models,
+    newton,
     prep,
     quality,
     staging,
+    trees,
 )
 from courselake.plans import analysis, course, forecast, gallery
 from courselake.plans.lake import Lake
@@ -44,7 +47,6 @@ from courselake.sources.faults import faulty, with_bad_cells
 from courselake.sources.tables import write_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-DRIVER_TABLES = ["nation", "customer", "orders", "lineitem"]
 RUN_AT = "2020-01-0{} 00:00:00"
 
 
@@ -106,8 +108,9 @@ def _(lake: Lake) -> DataFrame:
 
 @query("src_expected_files")
 def _(lake: Lake) -> DataFrame:
-    expected = [f"{t}.parquet" for t in DRIVER_TABLES] + list(LANDING_FILES.values())
-    return files.missing_files(lake.spark, lake.sf_dir, expected)
+    folder = written_landing(lake)
+    files.require_files(lake.spark, folder, list(LANDING_FILES.values()))
+    return audit.landed_against_expected(lake.all_landing(), files.land_folder(lake.spark, folder))
 
 
 @query("src_digest")
@@ -260,6 +263,16 @@ def _(lake: Lake) -> DataFrame:
     return constraints.check_report(faulty_core(lake))
 
 
+@query("con_clean")
+def _(lake: Lake) -> DataFrame:
+    tables = {**lake.core_tables(), "attempts": lake.attempts}
+    reports = [
+        constraints.primary_key_report, constraints.foreign_key_report,
+        constraints.not_null_report, constraints.check_report,
+    ]
+    return reduce(DataFrame.unionByName, [report(tables) for report in reports])
+
+
 # --- quality -----------------------------------------------------------------
 
 
@@ -466,6 +479,11 @@ def _(lake: Lake) -> DataFrame:
     return features.range_join_clicks(lake.spine, lake.weekly)
 
 
+@query("feat_range_join_binned")
+def _(lake: Lake) -> DataFrame:
+    return features.range_join_clicks_binned(lake.spine, lake.weekly)
+
+
 @query("feat_snapshot_day")
 def _(lake: Lake) -> DataFrame:
     known = lake.weekly.filter(F.col("course_week") >= 0)
@@ -765,9 +783,10 @@ def _(lake: Lake) -> DataFrame:
     from pyspark.ml import Pipeline
     from pyspark.ml.functions import vector_to_array
 
-    known = lake.split("train").filter(F.col("code_module") != "CCC")
-    encoder = Pipeline(stages=prep.one_hot(["code_module"])).fit(known)
-    return encoder.transform(lake.split("test")).select(
+    encoder = Pipeline(stages=prep.one_hot(["code_module"])).fit(lake.split("train"))
+    unknown = F.when(F.col("id_student") % 10 != 0, F.col("code_module")).otherwise("ZZZ")
+    coded = encoder.transform(lake.split("test").withColumns({"own": F.col("code_module"), "code_module": unknown}))
+    return coded.withColumn("code_module", F.col("own")).select(
         *ATTEMPT_WEEK,
         F.array_join(
             F.transform(vector_to_array("code_module_hot"), lambda x: x.cast("int").cast("string")),
@@ -794,12 +813,20 @@ def _(lake: Lake) -> DataFrame:
 
 
 def fitted_model(lake: Lake, name: str):
-    """A pipeline fitted on the train split, saved and read back once per application."""
+    """A pipeline fitted on the train split, saved and read back once per application.
+
+    All fits share one preparation, which is saved and read back too.
+    """
+    train = lake.split("train")
+
+    def stages() -> list:
+        return lake.shelf.model("preparation", lambda: PipelineModel(models.preparation(train))).stages
+
     fits = {
-        "logistic": lambda: models.fit_logistic(lake.split("train")),
-        "tree": lambda: models.fit_tree(lake.split("train")),
-        "gbt": lambda: models.fit_gbt(lake.split("train")),
-        "withdrawal": lambda: models.fit_logistic(lake.split("train"), WITHDRAWAL_TARGET),
+        "logistic": lambda: models.fit_logistic(train, stages=stages()),
+        "tree": lambda: models.fit_tree(train, stages=stages()),
+        "gbt": lambda: models.fit_gbt(train, stages=stages()),
+        "withdrawal": lambda: models.fit_logistic(train, WITHDRAWAL_TARGET, stages=stages()),
     }
     return lake.shelf.model(name, fits[name])
 
@@ -825,6 +852,50 @@ def _(lake: Lake) -> DataFrame:
     return model_metrics(lake, "gbt")
 
 
+@query("ml_tree_splits")
+def _(lake: Lake) -> DataFrame:
+    fitted = trees.fit_exact_tree(
+        lake.split("train"), ASSESSMENT_TARGET, NUMERIC_FEATURES, CATEGORICAL_FEATURES, depth=2
+    )
+    return rounded(fitted.table(lake.spark))
+
+
+@query("ml_boosted_leaves")
+def _(lake: Lake) -> DataFrame:
+    fitted = trees.fit_boosted(
+        lake.split("train"), ASSESSMENT_TARGET, NUMERIC_FEATURES, CATEGORICAL_FEATURES, depth=2, rounds=2
+    )
+    sums = [F.round(c, 5).alias(c) for c in ("gradient", "hessian")]
+    return fitted.leaves(lake.spark).select("tree", "leaf", "rows", *sums, F.round("value", 6).alias("value"))
+
+
+NEWTON_INPUTS = ["clicks_7d", "missing_due_to_date"]
+
+
+@query("ml_newton")
+def _(lake: Lake) -> DataFrame:
+    train = lake.split("train")
+    scales = prep.fit_scaler(train, NEWTON_INPUTS)
+    weights = prep.class_weights(train, ASSESSMENT_TARGET)
+    rows = prep.weigh(prep.apply_scaler(train, scales), ASSESSMENT_TARGET, weights)
+    rows = trees.stored(rows.select(*NEWTON_INPUTS, F.col(ASSESSMENT_TARGET).cast("double").alias("y"), "weight"), "newton")
+    inputs = [F.col(c) for c in NEWTON_INPUTS]
+    fitted = newton.fit_newton(rows, NEWTON_INPUTS, inputs, F.col("y"), F.col("weight"))
+    mean = F.sum(F.col("weight") / (1.0 + F.exp(-fitted.margin(inputs)))) / F.sum("weight")
+    return fitted.table(lake.spark).select(
+        "term", F.round("coefficient", 5).alias("coefficient"), F.round("odds_ratio", 5).alias("odds_ratio"),
+        (F.abs("gradient") < 1e-4).alias("optimal"), F.round(rows.agg(mean).scalar(), 5).alias("mean_probability"),
+    )
+
+
+@query("ml_calibrated_mean")
+def _(lake: Lake) -> DataFrame:
+    later = lake.split().filter(F.col("split") == "validation")
+    margins = models.score(fitted_model(lake, "logistic"), later).withColumn("y", F.col(ASSESSMENT_TARGET))
+    calibrated = models.apply_sigmoid(models.fit_sigmoid(margins), margins)
+    return calibrated.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("probability"), 4).alias("mean_probability"))
+
+
 @query("ml_calibrated")
 def _(lake: Lake) -> DataFrame:
     later = lake.split().filter(F.col("split") != "train")

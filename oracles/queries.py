@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from courselake.operators.quality import core_checks, snapshot_checks
+from oracles.newton import calibrated_mean, newton
 from oracles.relations import half_up, sql
+from oracles.trees import boosted_leaves, exact_splits
 
 AK = "code_module, code_presentation, id_student"
 AKW = f"{AK}, course_week"
@@ -85,9 +87,22 @@ add(
         for t, (rel, cells) in RAW.items()
     ),
 )
-ORACLES["src_expected_files"] = "SELECT * FROM (VALUES {}) AS v(file)".format(
-    ", ".join(f"('{f}')" for f in FILES.values())
-)
+
+
+def fingerprints(table: str) -> str:
+    relation, cells = RAW[table]
+    marked = ", ".join(f"CASE WHEN {text(c)} IN ('', '?') THEN '?' ELSE {text(c)} END" for c in cells)
+    figures = [
+        ("rows", "count(*)"),
+        ("sum", "coalesce(sum(h::HUGEINT) % 9007199254740992, 0)::BIGINT"),
+        ("xor", "coalesce(bit_xor(h), 0)"),
+    ]
+    both = ", ".join(f"{f} AS {side}_{n}" for side in ("expected", "landed") for n, f in figures)
+    return f"""SELECT '{FILES[table]}' AS file, {both}, true AS agrees
+      FROM (SELECT ('0x' || substr(md5(concat_ws('|', {marked})), 1, 13))::BIGINT AS h FROM {relation})"""
+
+
+add("src_expected_files", ALL, " UNION ALL ".join(fingerprints(t) for t in RAW))
 add(
     "aud_rows",
     ALL,
@@ -315,6 +330,32 @@ add(
     **FAULTY,
 )
 
+CLEAN_TABLES = {t: f.removeprefix("f_") for t, f in FAULTY_TABLES.items()}
+add(
+    "con_clean",
+    f"{ALL} attempts",
+    violations(
+        [
+            ("presentations", "primary key", repeated("courses", PK)),
+            ("assessments", "primary key", repeated("assessments", "id_assessment")),
+            ("resources", "primary key", repeated("resources", f"id_site, {PK}")),
+            ("attempts", "primary key", repeated("attempts", AK)),
+            ("submissions", "primary key", repeated("submissions", "id_assessment, id_student")),
+            *[
+                (t, "references presentations", orphans(t, "courses", PK))
+                for t in ("assessments", "resources", "attempts")
+            ],
+            ("submissions", "references assessments", orphans("submissions", "assessments", "id_assessment")),
+            *[
+                (t, f"not null {c}", f"SELECT count(*) - count({c}) FROM {CLEAN_TABLES[t]}")
+                for t, columns in MANDATORY.items()
+                for c in columns.split(",")
+            ],
+            *[(t, n, f"SELECT count(*) FROM {CLEAN_TABLES[t]} WHERE {c}") for t, n, c in CONDITIONS],
+        ]
+    ),
+)
+
 # --- quality -----------------------------------------------------------------
 
 DETAILS = {c.name: (c.severity, c.detail) for c in core_checks() + snapshot_checks()}
@@ -587,6 +628,7 @@ add(
              AND w.course_week <= s.course_week
         GROUP BY ALL""",
 )
+ORACLES["feat_range_join_binned"] = ORACLES["feat_range_join"]
 add(
     "feat_snapshot_day",
     "weekly",
@@ -971,9 +1013,11 @@ add(
 add(
     "ml_one_hot",
     "scored",
-    f"""SELECT {AKW}, CASE code_module WHEN 'AAA' THEN '1000' WHEN 'BBB' THEN '0100'
-               WHEN 'DDD' THEN '0010' WHEN 'EEE' THEN '0001' ELSE '0000' END AS hot
-        FROM scored WHERE split = 'test'""",
+    f"""SELECT {AKW}, (SELECT string_agg(CASE WHEN k.code_module = s.code_module AND s.id_student % 10 <> 0
+                                              THEN '1' ELSE '0' END, '' ORDER BY k.code_module)
+                       FROM known k) AS hot
+        FROM scored s WHERE split = 'test'""",
+    known="SELECT DISTINCT code_module FROM scored WHERE split = 'train'",
 )
 add(
     "ml_class_weights",
@@ -1014,6 +1058,11 @@ add(
        20260723 AS random_seed""",
 )
 
+ORACLES["ml_tree_splits"] = exact_splits()
+ORACLES["ml_boosted_leaves"] = boosted_leaves()
+ORACLES["ml_newton"] = newton()
+ORACLES["ml_calibrated_mean"] = calibrated_mean()
+
 # --- evaluation --------------------------------------------------------------
 
 CONFUSION = """SELECT {by}, count(*) FILTER (probability < 0.5 AND y = 0) AS true_negative,

@@ -256,3 +256,28 @@ def test_weekly_engagement_with_a_hot_attempt(spark):
 def test_registry_lists_every_feature(spark):
     names = {r.feature_name for r in f.availability_registry(spark).collect()}
     assert len(names) == 14
+
+
+def test_interval_join_is_the_join_by_comparison(spark):
+    import random
+
+    from courselake.operators import features
+
+    r = random.Random(5)
+    points = [(r.choice("ab"), r.randint(-50, 400), i) for i in range(300)] + [("a", None, 900), (None, 3, 901)]
+    spans = []
+    for i in range(200):
+        begin = r.randint(-60, 400)
+        spans.append((r.choice("ab"), begin, begin + r.choice([-1, 0, 0, 1, 5, 6, 7, 300, 2000]), i))
+    spans += [("a", None, 5, 900), ("b", 5, None, 901), (None, 0, 10, 902), ("a", -(10**9), 10**9, 903)]
+    p = spark.createDataFrame(points, "k string, at int, point int")
+    s = spark.createDataFrame(spans, "k string, since int, until int, span int")
+    joined = features.interval_join(p, s, ["k"], "at", "since", "until")
+    got = sorted((x["point"], x["span"]) for x in joined.collect())
+    whole = lambda *v: None not in v
+    assert got == sorted(
+        (i, j) for k, at, i in points for l, b, e, j in spans if whole(k, at, l, b, e) and k == l and b <= at <= e
+    )
+    plan = joined._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert features.interval_join(p, s.limit(0), ["k"], "at", "since", "until").count() == 0

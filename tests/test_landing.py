@@ -170,3 +170,25 @@ def test_replace_latest_and_gate(spark):
     quality.gate(replaced)
     with pytest.raises(ValueError, match="a \\(1\\)"):
         quality.gate(old)
+
+
+def test_fingerprint_sees_changed_swapped_and_repeated_rows(spark):
+    from courselake.operators import audit
+
+    base = [("a", "1"), ("b", "2"), ("c", None), ("c", None)]
+    schema = "x string, y string"
+    mark = lambda rows: tuple(audit.fingerprint(spark.createDataFrame(rows, schema)).first())
+    assert mark(base) == mark(base[::-1]) == mark([*base[:3], ("c", "?")]) == mark([*base[:3], ("c", "")])
+    others = [mark([]), mark(base[:3]), mark([("a", "2"), ("b", "1"), *base[2:]]), mark([*base[:2], ("d", None), ("d", None)])]
+    assert len({mark(base), *others}) == 5
+
+
+def test_a_table_that_did_not_land_or_changed_disagrees(spark):
+    from courselake.operators import audit
+
+    one = spark.createDataFrame([("a", 1), ("b", 2)], "code string, n int")
+    changed = spark.createDataFrame([("a", "2"), ("b", "1")], "code string, n string")
+    got = audit.landed_against_expected({"courses": one, "vle": one, "assessments": one}, {"courses": one, "vle": changed})
+    assert {r["file"]: (r["landed_rows"], r["agrees"]) for r in got.collect()} == {
+        "courses.csv": (2, True), "vle.csv": (2, False), "assessments.csv": (None, False),
+    }

@@ -168,3 +168,40 @@ def test_forecast_run_is_deterministic_and_complete(spark, lake, tmp_path):
         r.feature for r in runs[0]["permutation_importance"].collect()
     }
     assert evaluation.confusion(lake.scored).count() == 1
+
+
+def test_newton_reaches_the_optimum_that_mllib_approaches(train, logistic):
+    from courselake.operators import newton
+    from courselake.operators.trees import stored
+
+    weights = prep.class_weights(train, ASSESSMENT_TARGET)
+    prepared = PipelineModel(logistic.stages[:-1]).transform(prep.weigh(train, ASSESSMENT_TARGET, weights))
+    rows = stored(
+        prepared.select(vector_to_array("features").alias("x"), F.col(ASSESSMENT_TARGET).cast("double").alias("y"), "weight"), "rows"
+    )
+    names = models.feature_names(logistic)
+    inputs = [F.get("x", F.lit(i)) for i in range(len(names))]
+    fitted = newton.fit_newton(rows, names, inputs, F.col("y"), F.col("weight"))
+    mllib = np.r_[logistic.stages[-1].coefficients.toArray(), logistic.stages[-1].intercept]
+    assert fitted.coefficients == pytest.approx(mllib, abs=2e-3)
+    assert np.abs(fitted.gradient).max() < 1e-4
+    again = newton.fit_newton(rows, names, inputs, F.col("y"), F.col("weight"), start=mllib)
+    assert again.objective == pytest.approx(fitted.objective) and again.steps <= fitted.steps
+    gradient, _, loss = newton.sums_at(rows, inputs, F.col("y"), F.col("weight"), mllib)
+    assert 0.5 * loss + mllib[:-1] @ mllib[:-1] / 2 >= fitted.objective - 1e-6
+
+
+def test_newton_survives_separable_and_huge_inputs(spark):
+    from courselake.operators import newton
+
+    rows = spark.createDataFrame([(float(x), float(x > 0)) for x in range(-20, 21)] + [(1e4, 1.0), (-1e4, 0.0)], "x double, y double").cache()
+    fitted = newton.fit_newton(rows, ["x"], [F.col("x")], F.col("y"), F.lit(1.0))
+    assert np.isfinite(fitted.coefficients).all() and fitted.decrement < 1e-9
+    assert fitted.table(spark).count() == 2
+
+
+def test_fits_that_share_a_preparation_are_those_that_do_not(train, logistic):
+    stages = models.preparation(train)
+    shared = models.fit_logistic(train, stages=stages)
+    assert shared.stages[-1].coefficients.toArray() == pytest.approx(logistic.stages[-1].coefficients.toArray(), abs=1e-9)
+    assert shared.stages[:-1] == stages
