@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from courselake.functions.columns import one_row
 from courselake.schemas import ATTEMPT, LANDING_FILES, MISSING_MARKERS, PRESENTATION
 
 
@@ -92,10 +93,6 @@ def missing_report(raw: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _count(df: DataFrame):
-    return df.agg(F.count(F.lit(1))).scalar()
-
-
 def _distinct(df: DataFrame, *columns: str):
     """Distinct non-null values, or distinct tuples, of the columns."""
     value = F.col(columns[0]) if len(columns) == 1 else F.struct(*columns)
@@ -103,19 +100,23 @@ def _distinct(df: DataFrame, *columns: str):
 
 
 def calculated_scale(raw: dict[str, DataFrame]) -> DataFrame:
-    """One row of totals. Each figure is a scalar subquery over one table."""
+    """One row of totals. Each figure is a scalar subquery over one table; every table is counted
+    once."""
     spark = raw["courses"].sparkSession
-    total = reduce(
-        DataFrame.unionByName, [df.agg(F.count(F.lit(1)).alias("rows")) for df in raw.values()]
+    counts = reduce(
+        DataFrame.unionByName,
+        [df.agg(F.count(F.lit(1)).alias("rows")).withColumn("name", F.lit(name)) for name, df in raw.items()],
     )
+    activity = F.max(F.when(F.col("name") == "student_vle", F.col("rows")))
+    total = one_row(counts.agg(F.sum("rows").alias("all"), activity.alias("activity")))
     return spark.range(1).select(
-        total.agg(F.sum("rows")).scalar().alias("csv_rows"),
+        total["all"].alias("csv_rows"),
         _distinct(raw["student_info"], "id_student").alias("unique_students"),
         _distinct(raw["student_info"], *ATTEMPT).alias("student_module_attempts"),
         _distinct(raw["courses"], "code_module").alias("modules"),
         _distinct(raw["courses"], *PRESENTATION).alias("module_presentations"),
         _distinct(raw["assessments"], "id_assessment").alias("assessments"),
-        _count(raw["student_vle"]).alias("activity_records"),
+        total["activity"].alias("activity_records"),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import statistics
 import time
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -160,6 +161,29 @@ def weekly_totals_from_mart(weekly: DataFrame) -> DataFrame:
     )
 
 
+def compared(question: str, variants: dict[str, DataFrame]) -> DataFrame:
+    """Ways to one answer, one row each: its rows, and the rows in which it differs from the first.
+
+    Rows are compared with their number of copies, in one grouped pass per variant.
+    """
+    names = list(variants)
+    first = variants[names[0]]
+    columns = first.columns
+    parts = []
+    for name, df in variants.items():
+        signed = first.withColumn("_sign", F.lit(1)).unionByName(
+            df.select(*columns).withColumn("_sign", F.lit(-1))
+        )
+        unequal = signed.groupBy(*columns).agg(F.sum("_sign").alias("_sign")).filter(F.col("_sign") != 0)
+        differing = unequal.agg(F.coalesce(F.sum(F.abs("_sign")), F.lit(0))).scalar()
+        parts.append(
+            df.agg(F.count(F.lit(1)).alias("rows")).select(
+                F.lit(question).alias("question"), F.lit(name).alias("variant"), "rows", differing.alias("differing")
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
 def timed_pair(
     spark: SparkSession,
     case: str,

@@ -747,6 +747,23 @@ def _(lake: Lake) -> DataFrame:
     return analysis.weekly_totals_from_mart(lake.weekly)
 
 
+@query("ana_pairs")
+def _(lake: Lake) -> DataFrame:
+    weekly = analysis.compared(
+        "weekly totals",
+        {"fact": analysis.weekly_totals_from_fact(lake.interactions), "mart": analysis.weekly_totals_from_mart(lake.weekly)},
+    )
+    known = analysis.compared(
+        "clicks to week",
+        {
+            "running sum": features.range_join_clicks(lake.spine, lake.weekly),
+            "binned intervals": features.range_join_clicks_binned(lake.spine, lake.weekly),
+            "equi-join": features.range_join_clicks_by_join(lake.spine, lake.weekly),
+        },
+    )
+    return weekly.unionByName(known)
+
+
 @query("ana_snapshots_from_store")
 def _(lake: Lake) -> DataFrame:
     return lake.snapshots.select(*ATTEMPT_WEEK, "clicks_to_date")

@@ -957,6 +957,21 @@ add(
     TOTALS.format(f"{PK}, course_week", f"(SELECT * FROM weekly WHERE {WEEKS})"),
 )
 
+add(
+    "ana_pairs",
+    "interactions weekly spine",
+    " UNION ALL ".join(
+        f"SELECT '{question}' AS question, '{variant}' AS variant, (SELECT count(*) FROM {rows}) AS rows, 0 AS differing"
+        for question, variant, rows in [
+            ("weekly totals", "fact", f"""(SELECT DISTINCT {PK}, floor(activity_day / 7.0) FROM interactions
+                                           WHERE activity_day BETWEEN 0 AND 90)"""),
+            ("weekly totals", "mart", f"(SELECT DISTINCT {PK}, course_week FROM weekly WHERE {WEEKS})"),
+            ("clicks to week", "running sum", "spine"),
+            ("clicks to week", "binned intervals", "spine"),
+            ("clicks to week", "equi-join", "spine"),
+        ]
+    ),
+)
 add("ana_snapshots_from_store", "snapshots", f"SELECT {AKW}, clicks_to_date FROM snapshots")
 add(
     "snk_results",
