@@ -97,9 +97,9 @@ def curriculum(docs: DataFrame, schedules=SCHEDULES, cap: float = 3.0) -> DataFr
     rest of the target covers its middle; so a source ends within half a document of its
     target. A null text has size 0 and is taken as often as the pass reaches it; an empty
     table gives no rows. Repeated rows count as documents of their own; ties in the order are
-    broken by id and size, so reruns agree. Extra columns of ``docs`` are kept; columns with
-    the names above are replaced. ``position`` is the time of the first copy, null if there is
-    none.
+    broken by id and size, so reruns agree. Only doc_id, source and text are read; other columns
+    of ``docs``, also those with the names above, do not reach the result. ``position`` is the
+    time of the first copy, null if there is none.
 
     The prefix sums run per (source, bucket) with bucket totals as offsets; the bucket count
     grows with the rows, so a hot source is spread over many tasks.
