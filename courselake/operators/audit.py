@@ -121,25 +121,30 @@ def calculated_scale(raw: dict[str, DataFrame]) -> DataFrame:
 
 
 def anomalies(raw: dict[str, DataFrame]) -> DataFrame:
-    """One row: repeated attempt keys beyond the first, and missing cells of note."""
-    info, registration = raw["student_info"], raw["student_registration"]
-    spark = info.sparkSession
-
-    def repeats(df: DataFrame):
-        per_key = df.groupBy(*ATTEMPT).agg(F.count(F.lit(1)).alias("rows"))
-        return per_key.agg(F.coalesce(F.sum(F.col("rows") - 1), F.lit(0))).scalar()
-
-    def missing(df: DataFrame, column: str):
-        return df.agg(
-            F.count_if(F.col(column).isNull() | F.col(column).isin(*MISSING_MARKERS))
-        ).scalar()
+    """One row: repeated attempt keys beyond the first, and missing cells of note. Each table is
+    scanned once; missing cells of a table with attempts ride on its grouping by attempt."""
+    spark = raw["student_info"].sparkSession
+
+    def gone(column: str):
+        return F.count_if(F.col(column).isNull() | F.col(column).isin(*MISSING_MARKERS))
+
+    def by_attempt(table: str, column: str):
+        keyed = raw[table].groupBy(*ATTEMPT).agg(F.count(F.lit(1)).alias("rows"), gone(column).alias("gone"))
+        return one_row(
+            keyed.agg(
+                F.coalesce(F.sum(F.col("rows") - 1), F.lit(0)).alias("repeats"),
+                F.coalesce(F.sum("gone"), F.lit(0)).alias("gone"),
+            )
+        )
 
+    info = by_attempt("student_info", "imd_band")
+    registration = by_attempt("student_registration", "date_unregistration")
     return spark.range(1).select(
-        repeats(info).alias("student_attempt_duplicates"),
-        repeats(registration).alias("registration_attempt_duplicates"),
-        missing(info, "imd_band").alias("missing_imd_band"),
-        missing(raw["assessments"], "date").alias("missing_assessment_due_dates"),
-        missing(registration, "date_unregistration").alias("missing_unregistration_dates"),
+        info["repeats"].alias("student_attempt_duplicates"),
+        registration["repeats"].alias("registration_attempt_duplicates"),
+        info["gone"].alias("missing_imd_band"),
+        raw["assessments"].agg(gone("date")).scalar().alias("missing_assessment_due_dates"),
+        registration["gone"].alias("missing_unregistration_dates"),
     )
 
 

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from courselake.operators.checking import Rule, violations
 from courselake.schemas import (
     ASSESSMENT_TYPES,
     ATTEMPT,
@@ -107,78 +108,73 @@ def check_counts(df: DataFrame, conditions: dict[str, Column]) -> DataFrame:
     return counts.unpivot([], list(conditions), "constraint_name", "rows")
 
 
-def _named(table: str, constraint: str | Column, df: DataFrame) -> DataFrame:
-    label = F.lit(constraint) if isinstance(constraint, str) else constraint
-    return df.select(
-        F.lit(table).alias("table_name"),
-        label.alias("constraint_name"),
-        F.col("violations").cast("long").alias("violations"),
-    )
-
-
 def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def primary_key_rules() -> list[Rule]:
+    return [Rule(t, "primary key", unique=tuple(keys)) for t, keys in PRIMARY_KEYS.items()]
+
+
+def foreign_key_rules() -> list[Rule]:
+    return [
+        Rule(child, f"references {parent}", parent=parent, reference=tuple(keys), null_passes=True)
+        for child, parent, keys in FOREIGN_KEYS
+    ]
+
+
+def not_null_rules() -> list[Rule]:
+    return [
+        Rule(table, f"not null {c}", lambda c=c: F.col(c).isNull())
+        for table, columns in MANDATORY.items()
+        for c in columns
+    ]
+
+
+def condition_rules() -> list[Rule]:
+    return [
+        Rule(table, name, lambda holds=holds: ~holds)
+        for table, conditions in row_conditions().items()
+        for name, holds in conditions.items()
+    ]
+
+
+def key_rules() -> list[Rule]:
+    return [*primary_key_rules(), *foreign_key_rules()]
+
+
+def row_rules() -> list[Rule]:
+    return [*not_null_rules(), *condition_rules()]
+
+
+def report(rules: list[Rule], tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, constraint_name, violations) of the rules, in as few scans as they allow."""
+    return violations(rules, tables).withColumnRenamed("rule", "constraint_name")
+
+
 def primary_key_report(tables: dict[str, DataFrame]) -> DataFrame:
     """Duplicated keys per table."""
-    return _union(
-        [
-            _named(
-                name,
-                "primary key",
-                primary_key(tables[name], keys).agg(F.count(F.lit(1)).alias("violations")),
-            )
-            for name, keys in PRIMARY_KEYS.items()
-        ]
-    )
+    return report(primary_key_rules(), tables)
 
 
 def foreign_key_report(tables: dict[str, DataFrame]) -> DataFrame:
     """Child rows without a parent per declared reference."""
-    return _union(
-        [
-            _named(
-                child,
-                f"references {parent}",
-                foreign_key(tables[child], tables[parent], keys).agg(
-                    F.coalesce(F.sum("rows"), F.lit(0)).alias("violations")
-                ),
-            )
-            for child, parent, keys in FOREIGN_KEYS
-        ]
-    )
+    return report(foreign_key_rules(), tables)
 
 
 def not_null_report(tables: dict[str, DataFrame]) -> DataFrame:
-    return _union(
-        [
-            _named(
-                name,
-                F.concat(F.lit("not null "), F.col("column_name")),
-                not_null(tables[name], columns).withColumnRenamed("rows", "violations"),
-            )
-            for name, columns in MANDATORY.items()
-        ]
-    )
+    return report(not_null_rules(), tables)
 
 
 def check_report(tables: dict[str, DataFrame]) -> DataFrame:
-    return _union(
-        [
-            _named(
-                name,
-                F.col("constraint_name"),
-                check_counts(tables[name], conditions).withColumnRenamed("rows", "violations"),
-            )
-            for name, conditions in row_conditions().items()
-        ]
-    )
-
-
-def enforce(reports: list[DataFrame]) -> None:
-    """Raise when any report holds a violation. Reads a handful of summary rows."""
-    broken = _union(reports).filter(F.col("violations") > 0).collect()
+    return report(condition_rules(), tables)
+
+
+def enforce(reports: list[DataFrame], counted: list[tuple[str, str, int]] = ()) -> None:
+    """Raise when any report, or any (table, constraint, violations) counted before, holds a
+    violation. Reads a handful of summary rows."""
+    broken = [x for x in counted if x[2] > 0]
+    broken += [tuple(r) for r in _union(reports).filter(F.col("violations") > 0).collect()]
     if broken:
-        text = "; ".join(f"{r.table_name}: {r.constraint_name} ({r.violations})" for r in broken)
+        text = "; ".join(f"{table}: {constraint} ({n})" for table, constraint, n in broken)
         raise ValueError(f"Constraint violations: {text}")

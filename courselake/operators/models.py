@@ -9,7 +9,6 @@ fitted numbers (a few per feature) reach the driver.
 from __future__ import annotations
 
 import math
-import random
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -23,6 +22,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from courselake.functions.permutation import ROUNDS, permuted, round_keys
 from courselake.operators.evaluation import evaluate
 from courselake.operators.prep import (
     apply_imputer,
@@ -200,6 +200,58 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
     return out.select(*[c for c in df.columns if c != "probability"], positive, margin)
 
 
+CONTRACT_ROLE = "role"
+
+
+def feature_contract(df: DataFrame, features: list[str] | None = None) -> DataFrame:
+    """No rows, a column per feature of ``df`` that says so in its metadata, with its type."""
+    features = FEATURES if features is None else features
+    require_columns(df, features)
+    assert_feature_contract(features)
+    return df.limit(0).select(
+        *[F.col(f).alias(f, metadata={CONTRACT_ROLE: "feature"}) for f in features]
+    )
+
+
+def contract_faults(df: DataFrame, contract: DataFrame) -> list[str]:
+    """What keeps a frame from being scored: absent features and features of another type."""
+    have = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    faults = []
+    for f in contract.schema.fields:
+        if f.metadata.get(CONTRACT_ROLE) != "feature":
+            continue
+        if f.name not in have:
+            faults.append(f"{f.name} is missing")
+        elif have[f.name] != f.dataType.simpleString():
+            faults.append(f"{f.name} is {have[f.name]} instead of {f.dataType.simpleString()}")
+    return faults
+
+
+def save_model(model: PipelineModel, train: DataFrame, path: str) -> None:
+    """The pipeline and, beside it, the contract of the frame it was fitted on."""
+    feature_contract(train).write.mode("overwrite").parquet(f"{path}/contract")
+    model.write().overwrite().save(f"{path}/pipeline")
+
+
+def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, DataFrame]:
+    """(pipeline, contract); raises when the contract names a column that must not be a feature."""
+    contract = spark.read.parquet(f"{path}/contract")
+    entered = [f.name for f in contract.schema.fields if f.metadata.get(CONTRACT_ROLE) == "feature"]
+    if not entered:
+        raise ValueError(f"No feature contract in {path}")
+    assert_feature_contract(entered)
+    return PipelineModel.load(f"{path}/pipeline"), contract
+
+
+def score_by_contract(loaded: tuple[PipelineModel, DataFrame], df: DataFrame) -> DataFrame:
+    """Scores of a loaded model; raises before any job when the frame breaks its contract."""
+    model, contract = loaded
+    faults = contract_faults(df, contract)
+    if faults:
+        raise ValueError(f"The frame breaks the model's contract: {'; '.join(faults)}")
+    return score(model, df)
+
+
 def fit_sigmoid(scored_validation: DataFrame) -> LogisticRegressionModel:
     """Sigmoid calibration of a margin on the validation split.
 
@@ -249,8 +301,10 @@ def numbered_rows(df: DataFrame, seed: int = RANDOM_SEED) -> DataFrame:
     Counted per hash bucket; a window inside the bucket and one over the bucket counts give
     the number, so no task sees more than a bucket or the list of buckets.
     """
-    ordered = df.withColumn("_order", F.xxhash64(*ATTEMPT_WEEK, F.lit(seed))).withColumn(
-        "_bucket", F.shiftright("_order", 48)
+    key = F.concat_ws("|", *ATTEMPT_WEEK, F.lit(seed))
+    digest = F.substring(F.md5(key.cast("binary")), 1, 13)
+    ordered = df.withColumn("_order", F.conv(digest, 16, 10).cast("long")).withColumn(
+        "_bucket", F.shiftright("_order", 36)
     )
     earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ordered.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows")).select(
@@ -264,39 +318,52 @@ def numbered_rows(df: DataFrame, seed: int = RANDOM_SEED) -> DataFrame:
     )
 
 
+def with_donors(
+    numbered: DataFrame, n: int, features: list[str], repeats: int, seed: int = RANDOM_SEED
+) -> DataFrame:
+    """Each of n numbered rows once per feature and repeat, with the row ``_donor`` it takes the
+    feature's value from: a keyed permutation of the numbers, another for each feature and repeat."""
+    draws = [
+        F.struct(
+            F.lit(f).alias("feature"), F.lit(r).alias("repeat"),
+            F.array(*[F.lit(k).cast("long") for k in round_keys(seed, f"{f}:{r}")]).alias("keys"),
+        )
+        for f in features
+        for r in range(repeats)
+    ]
+    keys = [F.col("_draw.keys")[i] for i in range(ROUNDS)]
+    return (
+        numbered.withColumn("_draw", F.explode(F.array(*draws)))
+        .withColumns(
+            {
+                "feature": F.col("_draw.feature"),
+                "repeat": F.col("_draw.repeat"),
+                "_donor": permuted(F.col("_row").cast("long"), max(n, 1), keys),
+            }
+        )
+        .drop("_draw")
+    )
+
+
 def permuted_copies(df: DataFrame, repeats: int, seed: int = RANDOM_SEED) -> DataFrame:
     """All rows once per feature and repeat, with that feature shuffled among them.
 
-    Rows are numbered in a random order. In repeat r, a row takes its value from the row a
-    random distance ahead, going round: a permutation, met by an even join on the number.
-    The copies per feature are made after that join and are not shuffled.
+    Rows are numbered in a random order, once. Every feature and repeat has a permutation of
+    the numbers of its own, so the losses are independent draws; the values are met by an even
+    join on the number.
     """
     numbered = numbered_rows(df, seed)
-    n = df.count()
-    steps = random.Random(seed)
-    ahead = [F.lit(steps.randrange(1, n) if n > 1 else 0).cast("long") for _ in range(repeats)]
-    repeat = F.explode(
-        F.array(*[F.struct(F.lit(r).alias("repeat"), d.alias("by")) for r, d in enumerate(ahead)])
-    )
-    drawn = (
-        numbered.withColumn("_repeat", repeat)
-        .withColumn("repeat", F.col("_repeat.repeat"))
-        .withColumn("_donor", (F.col("_row") + F.col("_repeat.by")) % F.lit(max(n, 1)))
-    )
+    drawn = with_donors(numbered, df.count(), FEATURES, repeats, seed)
     donors = numbered.select(F.col("_row").alias("_donor"), F.struct(*FEATURES).alias("_values"))
     kept = [c for c in df.columns if c not in FEATURES]
-    return (
-        drawn.join(donors, "_donor")
-        .withColumn("feature", F.explode(F.array(*[F.lit(f) for f in FEATURES])))
-        .select(
-            *kept,
-            "feature",
-            "repeat",
-            *[
-                F.when(F.col("feature") == f, F.col("_values")[f]).otherwise(F.col(f)).alias(f)
-                for f in FEATURES
-            ],
-        )
+    return drawn.join(donors, "_donor").select(
+        *kept,
+        "feature",
+        "repeat",
+        *[
+            F.when(F.col("feature") == f, F.col("_values")[f]).otherwise(F.col(f)).alias(f)
+            for f in FEATURES
+        ],
     )
 
 

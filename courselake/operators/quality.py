@@ -1,19 +1,19 @@
 """Quality checks and their framework.
 
-Row checks of a table are fused into one aggregation, so a table is scanned once
-for all of them. Key checks aggregate per key before they shuffle. A result is one
-row per check; only ``gate`` and the assertions bring anything to the driver.
+Checks are compiled by ``checking``: a table is scanned once per key that is checked, and its
+row checks ride on one of these scans. A result is one row per check; only ``gate`` and the
+assertions bring anything to the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from courselake.operators.checking import Rule, violations
 from courselake.operators.constraints import primary_key, unmatched
 from courselake.schemas import (
     ASSESSMENT_TARGET,
@@ -36,7 +36,8 @@ PUBLISHED_ROWS = {"presentations": 22, "student_info": 32593, "interactions": 10
 
 @dataclass(frozen=True)
 class Check:
-    """One check: a row condition on a table, an expected row count, or a key query."""
+    """One check: a row condition on a table, an expected row count, a key that may occur
+    once, or a key that another table must hold."""
 
     name: str
     severity: str
@@ -44,22 +45,24 @@ class Check:
     table: str
     condition: Callable[[], Column] | None = None
     expected_rows: int | None = None
-    keys: Callable[[dict[str, DataFrame]], DataFrame] | None = None
-    count_keys: bool = False
+    unique: tuple[str, ...] = ()
+    parent: str | None = None
+    reference: tuple[str, ...] = ()
 
     def offending(self, tables: dict[str, DataFrame]) -> DataFrame:
         """The failing rows, or the failing keys with their row count."""
-        if self.keys is not None:
-            return self.keys(tables)
+        if self.unique:
+            return primary_key(tables[self.table], list(self.unique))
+        if self.reference:
+            return unmatched(tables[self.table], tables[self.parent], list(self.reference))
         if self.condition is not None:
             return tables[self.table].filter(self.condition())
         raise ValueError(f"{self.name} compares a count and has no offending rows")
 
-    def measure(self) -> Column:
-        """Failing rows as an aggregate over the table."""
-        if self.condition is not None:
-            return F.count_if(self.condition())
-        return F.abs(F.count(F.lit(1)) - F.lit(self.expected_rows))
+    def rule(self) -> Rule:
+        return Rule(
+            self.table, self.name, self.condition, self.expected_rows, self.unique, self.parent, self.reference
+        )
 
 
 def core_checks(expected_rows: dict[str, int] | None = None) -> list[Check]:
@@ -77,25 +80,23 @@ def core_checks(expected_rows: dict[str, int] | None = None) -> list[Check]:
         Check("source_activity_row_count", error, "Activity rows against the expected number.",
               "interactions", expected_rows=rows["interactions"]),
         Check("duplicate_student_attempts", error, "An attempt key may occur once.",
-              "student_info", keys=lambda t: primary_key(t["student_info"], ATTEMPT),
-              count_keys=True),
+              "student_info", unique=tuple(ATTEMPT)),
         Check("duplicate_assessment_submissions", error,
               "A student may hand in an assessment once.",
-              "submissions", keys=lambda t: primary_key(t["submissions"], SUBMISSION),
-              count_keys=True),
+              "submissions", unique=tuple(SUBMISSION)),
         Check("orphan_assessments", error, "An assessment needs its presentation.", "assessments",
-              keys=lambda t: unmatched(t["assessments"], t["presentations"], PRESENTATION)),
+              parent="presentations", reference=tuple(PRESENTATION)),
         Check("orphan_submissions", error, "A submission needs its assessment.", "submissions",
-              keys=lambda t: unmatched(t["submissions"], t["assessments"], ["id_assessment"])),
+              parent="assessments", reference=("id_assessment",)),
         Check("registrations_without_attempts", error, "A registration needs its attempt.",
               "registration",
-              keys=lambda t: unmatched(t["registration"], t["student_info"], ATTEMPT)),
+              parent="student_info", reference=tuple(ATTEMPT)),
         Check("activity_without_resources", error,
               "An activity needs its site in the same presentation.", "interactions",
-              keys=lambda t: unmatched(t["interactions"], t["resources"], RESOURCE)),
+              parent="resources", reference=tuple(RESOURCE)),
         Check("activity_without_attempts", warning,
               "Activity can exist for students outside the attempt table.", "interactions",
-              keys=lambda t: unmatched(t["interactions"], t["student_info"], ATTEMPT)),
+              parent="student_info", reference=tuple(ATTEMPT)),
         Check("invalid_assessment_weights", error, "A weight lies in 0 to 100.", "assessments",
               lambda: ~c("weight").between(0, 100)),
         Check("invalid_score_ranges", error, "A recorded score lies in 0 to 100.", "submissions",
@@ -127,8 +128,7 @@ def snapshot_checks(last_week: int = LAST_WEEK) -> list[Check]:
     # Names, severities and bounds of the checks.
     return [
         Check("duplicate_model_snapshots", "error", "One snapshot per attempt and week.",
-              "snapshots", keys=lambda t: primary_key(t["snapshots"], ATTEMPT_WEEK),
-              count_keys=True),
+              "snapshots", unique=tuple(ATTEMPT_WEEK)),
         Check("invalid_snapshot_dates", "error",
               "Weeks run from 0 to the last one and end on their seventh day.", "snapshots",
               lambda: ~c("course_week").between(0, last_week)
@@ -147,25 +147,16 @@ def snapshot_checks(last_week: int = LAST_WEEK) -> list[Check]:
 def failing_rows(checks: list[Check], tables: dict[str, DataFrame]) -> DataFrame:
     """(check_name, severity, failing_rows, detail) of every check."""
 
-    def row(ch: Check, failing: Column) -> Column:
-        return F.struct(
-            F.lit(ch.name).alias("check_name"),
-            F.lit(ch.severity).alias("severity"),
-            failing.cast("long").alias("failing_rows"),
-            F.lit(ch.detail).alias("detail"),
-        )
+    def named(what: Callable[[Check], str]) -> Column:
+        pairs = [F.lit(x) for ch in checks for x in (ch.name, what(ch))]
+        return F.element_at(F.create_map(*pairs), F.col("rule"))
 
-    parts: list[DataFrame] = []
-    for table in dict.fromkeys(ch.table for ch in checks if ch.keys is None):
-        own = [ch for ch in checks if ch.keys is None and ch.table == table]
-        measured = tables[table].agg(*[ch.measure().alias(ch.name) for ch in own])
-        parts.append(measured.select(F.inline(F.array(*[row(ch, F.col(ch.name)) for ch in own]))))
-    for ch in checks:
-        if ch.keys is not None:
-            total = F.count(F.lit(1)) if ch.count_keys else F.coalesce(F.sum("rows"), F.lit(0))
-            counted = ch.keys(tables).agg(total.alias("failing"))
-            parts.append(counted.select(row(ch, F.col("failing")).alias("r")).select("r.*"))
-    return reduce(DataFrame.unionByName, parts)
+    return violations([ch.rule() for ch in checks], tables).select(
+        F.col("rule").alias("check_name"),
+        named(lambda ch: ch.severity).alias("severity"),
+        F.col("violations").alias("failing_rows"),
+        named(lambda ch: ch.detail).alias("detail"),
+    )
 
 
 def run_checks(

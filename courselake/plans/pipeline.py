@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courselake.operators import audit, constraints, core, features, marts, quality, staging
+from courselake.operators.checking import Watched
 from courselake.schemas import (
     ATTEMPT,
     ATTEMPT_WEEK,
@@ -20,7 +21,7 @@ from courselake.schemas import (
 from courselake.session import sized_shuffles
 from courselake.sources.files import file_digests, land_folder, require_digests, require_files
 from courselake.sources.shelf import folder_size
-from courselake.sources.tables import write_results, write_table
+from courselake.sources.tables import replace_by, write_results, write_table
 
 STAGED = {
     "courses": "presentations",
@@ -79,39 +80,29 @@ def build_core(raw: dict[str, DataFrame], lake: Layers, expected_rows=None) -> D
     staged = {STAGED[t]: staging.stage(df, t) for t, df in raw.items()}
     checks = quality.core_checks(expected_rows)
     results = lake.store(quality.run_checks(checks, staged), "quality", "core_results")
+    replace_by(results, lake.path("quality", "run_results"), "check_name")
     quality.gate(results)
 
     # Ranging over attempt and day clusters an attempt's rows, and still splits an
     # attempt that holds a large share of them.
     activity_order = [*ATTEMPT, "activity_day"]
-    tables = {
-        "presentations": lake.store(staged["presentations"], "core", "presentations"),
-        "assessments": lake.store(staged["assessments"], "core", "assessments"),
-        "resources": lake.store(staged["resources"], "core", "resources"),
-        "attempts": lake.store(
-            core.student_attempts(staged["student_info"], staged["registration"]),
-            "core",
-            "attempts",
-            order_by=ATTEMPT,
-        ),
-        "submissions": lake.store(
-            staged["submissions"], "core", "submissions", order_by=SUBMISSION
-        ),
-        "interactions": lake.store(
-            staged["interactions"].repartitionByRange(*activity_order),
-            "core",
-            "interactions",
-            order_by=activity_order,
-        ),
+    layout = {"attempts": ATTEMPT, "submissions": SUBMISSION, "interactions": activity_order}
+    frames = {
+        "presentations": staged["presentations"],
+        "assessments": staged["assessments"],
+        "resources": staged["resources"],
+        "attempts": core.student_attempts(staged["student_info"], staged["registration"]),
+        "submissions": staged["submissions"],
+        "interactions": staged["interactions"].repartitionByRange(*activity_order),
     }
-    constraints.enforce(
-        [
-            constraints.primary_key_report(tables),
-            constraints.foreign_key_report(tables),
-            constraints.not_null_report(tables),
-            constraints.check_report(tables),
-        ]
-    )
+    # row constraints are counted by the write itself, key constraints on what was written
+    rules = constraints.row_rules()
+    tables, counted = {}, []
+    for name, df in frames.items():
+        watched = Watched(df, name, rules)
+        tables[name] = lake.store(watched.frame, "core", name, order_by=layout.get(name))
+        counted += watched.violations()
+    constraints.enforce([constraints.report(constraints.key_rules(), tables)], counted)
     return results
 
 
@@ -137,6 +128,9 @@ def build_marts(lake: Layers, missing_rule: str = "reference") -> DataFrame:
         partition_by=["code_presentation"],
         order_by=["code_module", "id_student", "due_day"],
     )
+    lake.store(
+        marts.resource_usage(tables["interactions"], tables["resources"]), "marts", "resource_type_usage"
+    )
     lake.store(
         marts.withdrawal_aligned(attempts, weekly), "marts", "withdrawal_aligned_engagement"
     )
@@ -176,10 +170,11 @@ def _build(spark, source, root, expected_rows, missing_rule, expected_digests) -
     lake = Layers(spark, root)
     raw = ingest(spark, source, lake)
     profile(spark, source, raw, lake, expected_digests)
-    core_results = build_core(raw, lake, expected_rows)
+    build_core(raw, lake, expected_rows)
     snapshots = build_marts(lake, missing_rule)
     snapshot_results = quality.run_checks(quality.snapshot_checks(), {"snapshots": snapshots})
-    results = lake.store(quality.replace(core_results, snapshot_results), "quality", "run_results")
+    replace_by(snapshot_results, lake.path("quality", "run_results"), "check_name")
+    results = lake.read("quality", "run_results").select(*quality.RESULT_COLUMNS)
     quality.gate(results)
 
     weekly = lake.read("marts", "weekly_engagement")

@@ -43,8 +43,8 @@ from courselake.schemas import (
     WITHDRAWAL_TARGET,
 )
 from courselake.sources import files, shelf
-from courselake.sources.faults import faulty, with_bad_cells
-from courselake.sources.tables import write_table
+from courselake.sources.faults import faulty, malformed_lines, with_bad_cells
+from courselake.sources.tables import replace_by, write_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 RUN_AT = "2020-01-0{} 00:00:00"
@@ -113,6 +113,17 @@ def _(lake: Lake) -> DataFrame:
     return audit.landed_against_expected(lake.all_landing(), files.land_folder(lake.spark, folder))
 
 
+@query("src_rejected_lines")
+def _(lake: Lake) -> DataFrame:
+    path = shelf.new_path(lake.spark, "malformed")
+    lines = malformed_lines(lake.landing("student_assessment"))
+    lines.write.option("header", "true").option("sep", "\u0001").csv(path)
+    landed, rejected = files.land_or_reject(lake.spark, path, "student_assessment")
+    keys = ["id_assessment", "id_student"]
+    kept = landed.select(*keys, F.lit("").alias("line"), F.lit("").alias("reason"))
+    return kept.unionByName(rejected.select(*keys, "line", "reason"))
+
+
 @query("src_digest")
 def _(lake: Lake) -> DataFrame:
     return files.file_digests(lake.spark, lake.sf_dir)
@@ -266,11 +277,7 @@ def _(lake: Lake) -> DataFrame:
 @query("con_clean")
 def _(lake: Lake) -> DataFrame:
     tables = {**lake.core_tables(), "attempts": lake.attempts}
-    reports = [
-        constraints.primary_key_report, constraints.foreign_key_report,
-        constraints.not_null_report, constraints.check_report,
-    ]
-    return reduce(DataFrame.unionByName, [report(tables) for report in reports])
+    return constraints.report([*constraints.key_rules(), *constraints.row_rules()], tables)
 
 
 # --- quality -----------------------------------------------------------------
@@ -321,6 +328,14 @@ def _(lake: Lake) -> DataFrame:
     return shown(quality.replace(earlier, snapshot_results(lake, 2)))
 
 
+@query("qc_stored")
+def _(lake: Lake) -> DataFrame:
+    path = shelf.new_path(lake.spark, "check-history")
+    replace_by(core_results(lake).unionByName(snapshot_results(lake, 1)), path, "check_name")
+    replace_by(snapshot_results(lake, 2), path, "check_name")
+    return shown(lake.spark.read.parquet(path).select(*quality.RESULT_COLUMNS))
+
+
 @query("qc_gate")
 def _(lake: Lake) -> DataFrame:
     return quality.gate_summary(core_results(lake).unionByName(snapshot_results(lake)))
@@ -946,6 +961,34 @@ def _(lake: Lake) -> DataFrame:
     return rounded(models.permutation_importance(fitted_model(lake, "gbt"), lake.split("test")))
 
 
+@query("ml_permuted_rows")
+def _(lake: Lake) -> DataFrame:
+    test = lake.split("test").select(*ATTEMPT_WEEK)
+    numbered = models.numbered_rows(test)
+    drawn = models.with_donors(numbered, test.count(), ["clicks_to_date", "clicks_7d"], 2)
+    return drawn.select(
+        *ATTEMPT_WEEK, F.col("_row").alias("row"), "feature", "repeat", F.col("_donor").alias("donor")
+    )
+
+
+@query("ml_reloaded")
+def _(lake: Lake) -> DataFrame:
+    test = lake.split("test")
+    model = fitted_model(lake, "logistic")
+    path = shelf.new_path(lake.spark, "contract-model")
+    models.save_model(model, lake.split("train"), path)
+    loaded = models.load_model(lake.spark, path)
+    changed = test.drop("clicks_7d").withColumn("clicks_to_date", F.col("clicks_to_date").cast("string"))
+    faults = "; ".join(sorted(models.contract_faults(changed, loaded[1])))
+    before = models.score(model, test).select(*ATTEMPT_WEEK, F.col("probability").alias("before"))
+    after = models.score_by_contract(loaded, test).select(*ATTEMPT_WEEK, "probability")
+    return before.join(after, ATTEMPT_WEEK).groupBy(*PRESENTATION).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col("before") == F.col("probability")).alias("same"),
+        F.lit(faults).alias("faults"),
+    )
+
+
 # --- evaluation --------------------------------------------------------------
 
 

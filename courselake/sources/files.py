@@ -37,6 +37,40 @@ def land_folder(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     }
 
 
+def land_or_reject(spark: SparkSession, path: str, table: str) -> tuple[DataFrame, DataFrame]:
+    """(landed rows, rejected lines) of a landing file; a malformed line does not stop the job.
+
+    A line with too few or too many fields, or a cell that its declared type can't hold, is kept
+    whole with file, number of fields and what could be read of it. The header is still checked.
+    """
+    names = spark.createDataFrame([], landing_schema(table)).columns
+    rows = (
+        spark.read.schema(f"{landing_schema(table)}, _line string")
+        .option("header", "true")
+        .option("enforceSchema", "false")
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", "_line")
+        .option("columnPruning", "false")  # a line is judged by all its fields
+        .option("encoding", "UTF-8")
+        .csv(path)
+        .select("*", F.col("_metadata.file_name").alias("_file"))
+    )
+    outside = F.regexp_replace("_line", '"[^"]*"', "")
+    fields = F.regexp_count(outside, F.lit(",")) + 1
+    reason = (
+        F.when(fields < len(names), "too few fields").when(fields > len(names), "too many fields")
+        .otherwise("unreadable cell")
+    )
+    # always true; Spark refuses to read the line alone, as in a count of the rejected ones
+    read = F.length(F.coalesce(F.col(names[0]).cast("string"), F.lit(""))) >= 0
+    landed = rows.filter(F.col("_line").isNull() & read).select(*names)
+    rejected = rows.filter(F.col("_line").isNotNull() & read).select(
+        *names, F.col("_line").alias("line"), F.col("_file").alias("file"),
+        fields.cast("int").alias("fields"), reason.alias("reason"),
+    )
+    return landed, rejected
+
+
 _SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
 
 

@@ -35,6 +35,21 @@ def write_table(
         raise ValueError(f"Unknown format {fmt}")
 
 
+def replace_by(df: DataFrame, path: str, name: str) -> None:
+    """Stores the rows of the names that ``df`` holds in place of those stored for them.
+
+    One folder per name; only folders of names in ``df`` are replaced, when all rows are written.
+    So a run that stops on the way leaves what was there, and running it again leaves one state.
+    """
+    (
+        df.repartition(name)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(name)
+        .parquet(path)
+    )
+
+
 def write_results(tables: dict[str, DataFrame], folder: str, fmt: str = "csv") -> None:
     """One folder per result table."""
     for name, df in tables.items():

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from courselake.functions.permutation import FACTOR, PRIME, ROUNDS, TRIED, round_keys
 from courselake.operators.quality import core_checks, snapshot_checks
+from courselake.schemas import RANDOM_SEED
 from oracles.newton import calibrated_mean, newton
 from oracles.relations import half_up, sql
 from oracles.trees import boosted_leaves, exact_splits
@@ -173,6 +175,18 @@ add(
                    ELSE '' END AS reason
        FROM submissions""",
 )
+SUBMITTED = RAW["student_assessment"][1]
+add(
+    "src_rejected_lines",
+    "submissions",
+    f"""SELECT id_assessment::VARCHAR AS id_assessment, id_student::VARCHAR AS id_student,
+              CASE WHEN n % 37 = 0 THEN {" || ',' || ".join(map(text, SUBMITTED))} || ',more'
+                   WHEN n % 47 = 0 THEN {" || ',' || ".join(map(text, SUBMITTED[:-1]))}
+                   ELSE '' END AS line,
+              CASE WHEN n % 37 = 0 THEN 'too many fields'
+                   WHEN n % 47 = 0 THEN 'too few fields' ELSE '' END AS reason
+       FROM (SELECT *, id_assessment + id_student AS n FROM submissions)""",
+)
 add("core_attempts", "attempts", "SELECT * FROM attempts")
 add(
     "core_counts",
@@ -440,6 +454,7 @@ add("qc_core", ALL, results(1, core_counts()))
 add("qc_faults", ALL, results(1, core_counts("f_")), **FAULTY)
 add("qc_snapshots", "snapshots", results(2, SNAPSHOT_COUNTS))
 add("qc_replace", BOTH, results(1, core_counts()) + " UNION ALL " + results(2, SNAPSHOT_COUNTS))
+add("qc_stored", BOTH, results(1, core_counts()) + " UNION ALL " + results(2, SNAPSHOT_COUNTS))
 add("qc_latest", BOTH, results(2, core_counts()) + " UNION ALL " + results(2, SNAPSHOT_COUNTS))
 add(
     "qc_gate",
@@ -1229,3 +1244,56 @@ add(
     t="SELECT * FROM scored",
     **GROUPED,
 )
+
+
+# --- permuted rows and the saved contract ---------------------------------------
+
+
+def _feistel(x: str) -> str:
+    """The grid's place of ``x`` after the rounds, nested selects that each change a coordinate."""
+    inner = f"SELECT *, {x} // b AS l0, {x} % b AS r0"
+    source = "FROM step_input"
+    for i in range(ROUNDS):
+        of, at, f = ("l", "r", "a") if i % 2 == 0 else ("r", "l", "b")
+        old, mixed = f"{of}{i}", f"{at}{i}"
+        hashed = f"(({mixed} + k{i}) % {PRIME})"
+        new = f"({old} + ({hashed} * {hashed} % {PRIME} * {FACTOR} + k{i}) % {PRIME}) % {f} AS {of}{i + 1}"
+        same = f"{at}{i} AS {at}{i + 1}"
+        inner = f"{inner} {source}" if i == 0 else inner
+        inner = f"SELECT *, {new}, {same} FROM ({inner})"
+    return f"SELECT * EXCLUDE ({', '.join(f'l{i}, r{i}' for i in range(ROUNDS + 1))}), l{ROUNDS} * b + r{ROUNDS} AS y FROM ({inner})"
+
+
+def _draws() -> str:
+    rows = [
+        f"('{f}', {r}, {', '.join(f'{k}::BIGINT' for k in round_keys(RANDOM_SEED, f'{f}:{r}'))})"
+        for f in ("clicks_to_date", "clicks_7d")
+        for r in range(2)
+    ]
+    return f"(VALUES {', '.join(rows)}) AS d(feature, repeat, {', '.join(f'k{i}' for i in range(ROUNDS))})"
+
+
+add(
+    "ml_permuted_rows",
+    "scored",
+    f"""SELECT {AKW}, row, feature, repeat, y AS donor FROM (
+        WITH RECURSIVE walk AS (
+            {_feistel("row").replace("step_input", f"(SELECT * FROM numbered, grid, {_draws()})")}
+            UNION ALL
+            {_feistel("y0").replace("step_input", "(SELECT * EXCLUDE (y), y AS y0 FROM walk WHERE y >= n)").replace("* EXCLUDE (l0", "* EXCLUDE (y0, l0")}
+        ) SELECT * FROM walk WHERE y < n)""",
+    numbered=f"""SELECT {AKW}, row_number() OVER (ORDER BY
+                   substr(md5(concat_ws('|', {AKW}, {RANDOM_SEED})), 1, 13), {AKW}) - 1 AS row
+                 FROM scored WHERE split = 'test'""",
+    root="SELECT count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS s FROM numbered",
+    grid=f"""SELECT n, a, (n + a - 1) // a AS b
+             FROM (SELECT n, unnest(range(greatest((s + 1) // 2, s - {TRIED - 1}), s + 1)) AS a FROM root)
+             ORDER BY a * ((n + a - 1) // a) - n, a DESC LIMIT 1""",
+)
+add(
+    "ml_reloaded",
+    "scored",
+    f"""SELECT {PK}, count(*) AS rows, count(*) AS same,
+               'clicks_7d is missing; clicks_to_date is string instead of bigint' AS faults
+        FROM scored WHERE split = 'test' GROUP BY {PK}""",
+)
