@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from bisect import bisect_left
@@ -14,19 +15,45 @@ from pyspark.sql import functions as F
 
 from courselake.llm.common import map_arrow
 
-# A single space between two visible characters. The tokenizer's words take such a space only
-# as their first character, and no special token holds one, so a text may be cut there.
-STABLE = re.compile(r"(?<=\S) (?=\S)")
+# Boundaries at which the splitter of byte-level tokenizers always cuts, whatever stands around: before
+# a single white space character between two visible ones (which a space begins the next word with),
+# and between letters, digits and other visible characters. A contraction's mark is itself such a
+# boundary, and one inside it is none, so a place after one is left out; so is what can be part of a
+# special token's string.
+SPLITTERS = {
+    # fixed value: the kind of pre-tokenizer and the pattern of boundaries that holds for it
+    "ByteLevel": re.compile(
+        r"(?<=\S)(?=[ \t\n\r]\S)|(?<=[A-Za-z\u4e00-\u9fff])(?=[0-9,.;:!?\u3001\u3002\uff0c\uff1b\uff1a\uff01\uff1f])"
+        r"|(?<=[\u3001\u3002\uff0c\uff1b\uff1a\uff01\uff1f])(?=[A-Za-z0-9\u4e00-\u9fff])"
+    )
+}
+
+
+def boundaries(tokenizer) -> re.Pattern | None:
+    """The places where the tokenizer's own splitter always cuts; None for a splitter that is not
+    known, whose texts are encoded whole."""
+    splitter = tokenizer.pre_tokenizer
+    kind = json.loads(splitter.__getstate__()) if splitter is not None else {}
+    known = kind.get("type") == "ByteLevel" and kind.get("use_regex") and not kind.get("add_prefix_space")
+    plain = tokenizer.normalizer is None and all(
+        t.content.isascii() and not (t.lstrip or t.rstrip or t.single_word or re.search(r"[\s0-9,.;:!?]", t.content))
+        for t in tokenizer.get_added_tokens_decoder().values()
+    )
+    return SPLITTERS["ByteLevel"] if known and plain else None
 
 
 def resynchronised_count(tokenizer, text: str, chunk: int, overlap: int) -> int:
     """Tokens of ``text``, encoded in chunks that overlap.
 
-    Each chunk is encoded with offsets. Inside the overlap, a stable boundary (see STABLE) at
+    Each chunk is encoded with offsets. Inside the overlap, a stable boundary (see SPLITTERS) at
     which tokens of both encodings start is where the earlier chunk's tokens end and the later
     one's begin. Where there is none, the overlap is doubled; once it is as long as the chunk,
-    both are encoded as one, which then is the earlier chunk.
+    the earlier chunk is encoded anew at twice its length, so that a text without any boundary
+    costs about two encodings of it and not one per chunk.
     """
+    stable = boundaries(tokenizer)
+    if stable is None:
+        return len(tokenizer.encode(text, add_special_tokens=False))
     total, start, end = 0, 0, min(len(text), chunk)
     starts = _starts(tokenizer, text, start, end)
     since = start  # the earlier chunk's tokens count from here
@@ -35,19 +62,21 @@ def resynchronised_count(tokenizer, text: str, chunk: int, overlap: int) -> int:
         while True:
             begin = end - width
             if begin <= since:
-                # no boundary in the whole chunk: go on with a longer one
-                end = min(len(text), end + chunk)
+                end = min(len(text), start + 2 * (end - start))
                 starts = _starts(tokenizer, text, start, end)
                 break
             upto = min(len(text), begin + chunk + width)
+            if not stable.search(text, begin + 1, end - 1):
+                width *= 2
+                continue
             later = _starts(tokenizer, text, begin, upto)
-            at = _common(text, starts, later, begin, end)
+            at = _common(stable, text, starts, later, begin, end)
             if at is not None:
-                total += sum(1 for s in starts if since <= s < at)
+                total += bisect_left(starts, at) - bisect_left(starts, since)
                 starts, start, since, end = later, begin, at, upto
                 break
             width *= 2
-    return total + sum(1 for s in starts if s >= since)
+    return total + len(starts) - bisect_left(starts, since)
 
 
 def _starts(tokenizer, text: str, start: int, end: int) -> list[int]:
@@ -56,10 +85,12 @@ def _starts(tokenizer, text: str, start: int, end: int) -> list[int]:
     return [start + a for a, _ in encoded.offsets]
 
 
-def _common(text: str, earlier: list[int], later: list[int], begin: int, end: int) -> int | None:
+def _common(
+    stable: re.Pattern, text: str, earlier: list[int], later: list[int], begin: int, end: int
+) -> int | None:
     """The last stable boundary in the overlap at which both encodings start a token."""
     both = set(earlier[bisect_left(earlier, begin) :]) & set(later[: bisect_left(later, end)])
-    for match in reversed(list(STABLE.finditer(text, begin + 1, end - 1))):
+    for match in reversed(list(stable.finditer(text, begin + 1, end - 1))):
         if match.start() in both:
             return match.start()
     return None
@@ -76,10 +107,11 @@ class PieceCounts(dict):
     def __init__(self, tokenizer, most: int = 400_000):
         super().__init__()
         self.tokenizer, self.most = tokenizer, most
+        self.cut = boundaries(tokenizer) is not None
 
     def totals(self, texts: list[str]) -> list[int]:
         """Tokens of each text; the library encodes each new piece once."""
-        cut = [PIECE.split(text) for text in texts]
+        cut = [PIECE.split(text) if self.cut else [text] for text in texts]
         ends = [pieces.pop() for pieces in cut]  # these alone may end in white space
         new = {p for pieces in cut for p in pieces if p not in self}
         if len(self) + len(new) > self.most:
