@@ -109,7 +109,8 @@ def _refilled(shape: Column, digits: Column) -> Column:
 
 
 def _phone(found: Column, key: str) -> Column:
-    """The last ten digits permuted; a North American number stays one (area and exchange from 200)."""
+    """The last ten digits permuted. With country code 1, numbers with area and exchange from 200 are
+    permuted among themselves, and so are the others, so that no two numbers share a pseudonym."""
     digits = F.regexp_replace(found, "[^0-9]", "")
     n = F.length(digits)
     code, ten = F.substring(digits, F.lit(1), n - 10), F.substring(digits, n - 9, F.lit(10))
@@ -117,7 +118,17 @@ def _phone(found: Column, key: str) -> Column:
     pair = feistel(area - 200, rest - 2_000_000, 800, 8_000_000, F.lit("phone"), key)
     american = F.concat((pair["a"] + 200).cast("string"), (pair["b"] + 2_000_000).cast("string"))
     fits = (code == "1") & (area >= 200) & (rest >= 2_000_000)
-    return _refilled(found, F.concat(code, F.when(fits, american).otherwise(_permuted_digits(ten, "line", key))))
+    # the other numbers with code 1: 200 areas of ten million, then 800 areas of two million
+    rank = F.when(area < 200, area * 10_000_000 + rest).otherwise(2_000_000_000 + (area - 200) * 2_000_000 + rest)
+    odd = feistel(F.floor(rank / 60_000).cast("long"), rank % 60_000, 60_000, 60_000, F.lit("other"), key)
+    at = odd["a"] * 60_000 + odd["b"]
+    above = at - 2_000_000_000
+    other = F.concat(
+        _padded(F.when(above < 0, F.floor(at / 10_000_000)).otherwise(200 + F.floor(above / 2_000_000)).cast("long"), F.lit(3)),
+        _padded(F.when(above < 0, at % 10_000_000).otherwise(F.pmod(above, F.lit(2_000_000))), F.lit(7)),
+    )
+    new = F.when(fits, american).when(code == "1", other).otherwise(_permuted_digits(ten, "line", key))
+    return _refilled(found, F.concat(code, new))
 
 
 def _address(found: Column, key: str) -> Column:
