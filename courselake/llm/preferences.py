@@ -23,6 +23,41 @@ def pair_by_number(conversations: DataFrame) -> DataFrame:
     )
 
 
+def pair_by_reply(conversations: DataFrame, trained_role: str = "assistant") -> DataFrame:
+    """Turns with (pair_id, side): each conversation is chosen, and rejected with another's last reply.
+
+    The pair's id is the conversation's. The rejected side has its turns before its last turn of the
+    trained role, then the text of the last such turn of conversation 2k + 1 for 2k and the reverse;
+    none where that one has no such turn. So both sides share all turns before the reply. Turns
+    after it belong to the chosen side only. A conversation without a turn of the trained role is
+    no pair, nor are turns without a conversation id. The last turn is that with the largest
+    (turn, text), nulls lowest; rows equal to it are the same turn and are all replaced by one.
+    Each conversation is reduced to one row before it is joined, and the larger side stays as it is.
+    """
+    known = conversations.where(F.col("conv_id").isNotNull()).select("conv_id", "turn", "role", "text")
+    last = (
+        known.where(F.col("role") == trained_role)
+        .groupBy("conv_id")
+        .agg(F.max(F.struct("turn", "text")).alias("last"))
+    )
+    other = last.select(
+        F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("last.text").alias("reply"), F.lit(True).alias("found")
+    )
+    facts = last.join(other, "conv_id", "left")
+    chosen = known.join(last.select("conv_id"), "conv_id", "left_semi").select(
+        F.col("conv_id").alias("pair_id"), F.lit("chosen").alias("side"), "turn", "role", "text"
+    )
+    before = F.struct("turn", F.when(F.col("role") == trained_role, F.col("text")).alias("text")) < F.col("last")
+    shared = known.join(last, "conv_id").where(before).select(
+        F.col("conv_id").alias("pair_id"), F.lit("rejected").alias("side"), "turn", "role", "text"
+    )
+    replies = facts.where("found").select(
+        F.col("conv_id").alias("pair_id"), F.lit("rejected").alias("side"),
+        F.col("last.turn").alias("turn"), F.lit(trained_role).alias("role"), F.col("reply").alias("text"),
+    )
+    return chosen.unionByName(shared).unionByName(replies)
+
+
 def preference_pairs(turns: DataFrame, trained_role: str = "assistant") -> DataFrame:
     """One row per pair_id from turns (pair_id, side, turn, role, text).
 

@@ -14,7 +14,7 @@ from courselake.llm.decontamination import with_leaks
 from courselake.llm.hard_negatives import hard_negatives
 from courselake.llm.language_model import lm_scores
 from courselake.llm.ngram_join import ngram_components
-from courselake.llm.preferences import pair_by_number, preference_pairs
+from courselake.llm.preferences import pair_by_reply, preference_pairs
 from courselake.llm.pseudonyms import pseudonymised
 from courselake.llm.repeats import repeated_spans
 from courselake.llm.sharding import histogram_shards
@@ -57,7 +57,7 @@ def op5_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preference_pairs(pair_by_number(table(spark, sf_dir, "conversations")))
+    return preference_pairs(pair_by_reply(table(spark, sf_dir, "conversations")))
 
 
 def op7_top_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from courselake.llm import decontamination, ngram_join, toxicity as tox
 from courselake.llm.curriculum import curriculum, in_training_order
 from courselake.llm.language_model import lm_scores
-from courselake.llm.preferences import pair_by_number, preference_pairs
+from courselake.llm.preferences import pair_by_number, pair_by_reply, preference_pairs
 from courselake.llm.pseudonyms import pseudonymised
 from courselake.llm.sharding import histogram_shards
 from courselake.llm.token_counts import PieceCounts, resynchronised_count, token_counts
@@ -194,6 +194,20 @@ def test_pseudonyms_keep_formats_and_links(spark):
     assert pseudonymised(many).select("text").distinct().count() == 256
 
 
+def test_numbers_with_code_one_keep_their_kind_and_stay_apart(spark):
+    r = random.Random(3)
+    numbers = ["+1 {:03d}-{:07d}".format(r.randrange(1000), r.randrange(10**7)) for _ in range(3000)]
+    numbers += ["+1 {:03d}-{:07d}".format(a, e) for a in (0, 199, 200, 201, 999) for e in (0, 1_999_999, 2_000_000, 9_999_999)]
+    numbers = sorted(set(numbers))
+    from courselake.llm.pseudonyms import _phone
+
+    df = spark.createDataFrame([(x,) for x in numbers], "t string")
+    got = [x[0] for x in df.select(_phone(F.col("t"), "k")).collect()]
+    kind = lambda x: x[3] in "01" or x[7] in "01"
+    assert len(set(got)) == len(numbers) and [kind(x) for x in got] == [kind(x) for x in numbers]
+    assert all(len(x) == len(y) and x[:3] == "+1 " for x, y in zip(got, numbers))
+
+
 # ---- 4
 
 
@@ -295,6 +309,38 @@ def test_preferences_share_their_longest_prefix(spark):
     assert preference_pairs(pair_by_number(turns.limit(0))).count() == 0
 
 
+def test_replies_are_paired_with_the_turns_before_them(spark):
+    r = random.Random(4)
+    rows = [
+        (c, t, r.choice(["user", "assistant", "system"]), r.choice(["hi", "no", "yes", "", None]))
+        for c in range(40) for t in range(r.randint(1, 6))
+    ]
+    rows += [(50, 0, "user", "q"), (50, 1, "assistant", "x" * 90000), (50, 2, "user", "bye"), (None, 0, "assistant", "a"), (60, 0, None, None)]
+    turns = spark.createDataFrame([(*x, 1) for x in rows + [(50, 1, "assistant", "x" * 90000)]], "conv_id long, turn long, role string, text string, pair_id int")
+    by = collections.defaultdict(list)
+    for c, t, role, text in rows:
+        if c is not None:
+            by[c].append((t, role, text))
+    reply = {c: [x for x in sorted(v, key=lambda x: x[0]) if x[1] == "assistant"][-1:] for c, v in by.items()}
+    show = lambda v: "".join(f"<|{role or 'unknown'}|>\n{text or ''}<|end|>\n" for _, role, text in v)
+    out = {x["pair_id"]: x for x in preference_pairs(pair_by_reply(turns)).collect()}
+    assert set(out) == {c for c, v in reply.items() if v}
+    for c, x in out.items():
+        whole = sorted(by[c], key=lambda y: y[0])
+        if c == 50:  # its reply stands twice
+            whole = [whole[0], whole[1], whole[1], whole[2]]
+        cut = whole.index(reply[c][0])
+        other = [(0, "assistant", t[2]) for t in reply.get(c ^ 1, [])]
+        a, b = [y[1:] for y in whole], [y[1:] for y in [*whole[:cut], *other]]
+        same = next((i for i, (p, q) in enumerate(zip(a, b)) if (p[0], p[1] or "") != (q[0], q[1] or "")), min(len(a), len(b)))
+        assert (x["prompt_turns"], x["prompt"]) == (same, show(whole[:same]))
+        assert x["prompt"] + x["chosen"] == show(whole) and x["prompt"] + x["rejected"] == show([*whole[:cut], *other])
+        trained = [x["chosen"][m["start"] : m["start"] + m["length"]] for m in x["chosen_mask"]]
+        assert trained == [f"{t or ''}<|end|>\n" for _, role, t in whole[same:] if role == "assistant"]
+    assert sum(x["prompt_turns"] > 0 for x in out.values()) > 10
+    assert preference_pairs(pair_by_reply(turns.limit(0))).count() == 0
+
+
 # ---- 7
 
 
@@ -381,24 +427,59 @@ def test_token_counts_are_the_librarys(docs, none):
 # ---- 10
 
 
-def test_language_model_scores(docs, none):
-    rows = [(i, [*(t or "").encode().lower().split(), b""]) for i, t, *_ in documents()]
+def backoff_by_hand(rows, order):
+    """Scores of texts of tokens by the recursion, with counts in dictionaries; checks that the
+    probabilities after every context sum to 1."""
+    counts = [collections.Counter() for _ in range(order + 1)]
+    for _, x, learn in rows:
+        if learn:
+            whole = [b" ", *x]
+            for n in range(1, order + 1):
+                counts[n].update(tuple(whole[i : i + n]) for i in range(len(whole) - n + 1))
+    words = {w: k for w, k in counts[1].items() if w != (b" ",)}
+    n, v = sum(words.values()), len(words)
+    strengths = {}
+    for k in range(2, order + 1):
+        contexts = [c for g, c in counts[k - 1].items() if g[-1] != b""]
+        by = collections.defaultdict(list)
+        for c in contexts:
+            by[c.bit_length()].append(c)
+        once = sum(c == 1 for c in counts[k].values())
+        low, high = 1e-3, 1e6
+        for _ in range(60):
+            s = math.sqrt(low * high)
+            fails = sum(sum(g) * s / (sum(g) / len(g) + s) for g in by.values())
+            low, high = (s, high) if fails < once else (low, s)
+        strengths[k] = math.sqrt(low * high)
+
+    def p(context, w):
+        k = len(context) + 1
+        if k == 1:
+            return (words.get((w,), 0) + 0.5) / (n + 0.5 * (v + 1))
+        shorter, seen = p(context[1:], w), counts[k - 1][context]
+        return (counts[k][(*context, w)] + strengths[k] * shorter) / (seen + strengths[k]) if seen else shorter
+
+    for context in list(counts[order - 1])[:5] if order > 1 else []:
+        if context[-1] != b"":
+            assert sum(p(context, w[0]) for w in words) + 0.5 / (n + 0.5 * (v + 1)) == pytest.approx(1, abs=0.02)
+    out = []
+    for i, x, learn in rows:
+        whole = [b" ", *x]
+        logs = [math.log10(p(tuple(whole[max(0, j - order + 1) : j]), whole[j])) for j in range(1, len(whole))]
+        base = sum(math.log10(p((), w)) for w in x)
+        out.append((-1 if i is None else i, not learn, len(x), sum((w,) in words for w in x), n, base, sum(logs)))
+    return out
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_language_model_scores(docs, none, order, monkeypatch):
     learned = lambda i: i is None or zlib.crc32(str(i).encode()) % 5 != 1
-    c, arcs, starts = collections.Counter(), collections.Counter(), 0
-    for i, x in rows:
-        if learned(i):
-            c.update(x)
-            arcs.update(zip([b" ", *x], x))
-            starts += 1
-    n, v = sum(c.values()), len(c)
-    f = sum(k == 1 for k in arcs.values()) / sum(arcs.values())
-    want = []
-    for i, x in rows:
-        base = [(c[w] + 0.5) / (n + 0.5 * (v + 1)) for w in x]
-        state = [starts, *(c[w] for w in x)]
-        walk = [(1 - f) * arcs[u, w] / k + f * b if k else b for u, w, k, b in zip([b" ", *x], x, state, base)]
-        want.append((-1 if i is None else i, not learned(i), len(x), sum(c[w] > 0 for w in x), n, *(sum(map(math.log10, p)) for p in (base, walk))))
-    got = [(-1 if r[0] is None else r[0], *r[1:]) for r in map(tuple, lm_scores(docs).collect())]
+    rows = [(i, [*(t or "").encode().lower().split(), b""], learned(i)) for i, t, *_ in documents()]
+    want = backoff_by_hand(rows, order)
+    got = [(-1 if r[0] is None else r[0], *r[1:]) for r in map(tuple, lm_scores(docs, order).collect())]
     for a, b in zip(sorted(want), sorted(got), strict=True):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:])
-    assert lm_scores(none).count() == 0
+    if order == 3:
+        assert lm_scores(none).count() == 0
+        unlearned = docs.where("crc32(cast(cast(doc_id as string) as binary)) % 5 = 1")
+        assert {(r["base_score"], r["score"], r["train_tokens"]) for r in lm_scores(unlearned).collect()} == {(0.0, 0.0, 0)}
