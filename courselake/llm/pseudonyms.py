@@ -121,12 +121,15 @@ def _phone(found: Column, key: str) -> Column:
     # the other numbers with code 1: 200 areas of ten million, then 800 areas of two million
     rank = F.when(area < 200, area * 10_000_000 + rest).otherwise(2_000_000_000 + (area - 200) * 2_000_000 + rest)
     odd = feistel(F.floor(rank / 60_000).cast("long"), rank % 60_000, 60_000, 60_000, F.lit("other"), key)
-    at = odd["a"] * 60_000 + odd["b"]
-    above = at - 2_000_000_000
-    other = F.concat(
-        _padded(F.when(above < 0, F.floor(at / 10_000_000)).otherwise(200 + F.floor(above / 2_000_000)).cast("long"), F.lit(3)),
-        _padded(F.when(above < 0, at % 10_000_000).otherwise(F.pmod(above, F.lit(2_000_000))), F.lit(7)),
-    )
+
+    def spelled(pair: Column) -> Column:
+        at = pair["a"] * 60_000 + pair["b"]
+        above = at - 2_000_000_000
+        first = F.when(above < 0, F.floor(at / 10_000_000)).otherwise(200 + F.floor(above / 2_000_000))
+        last = F.when(above < 0, at % 10_000_000).otherwise(F.pmod(above, F.lit(2_000_000)))
+        return F.concat(_padded(first.cast("long"), F.lit(3)), _padded(last, F.lit(7)))
+
+    other = F.transform(F.array(odd), spelled)[0]  # the pair is computed once
     new = F.when(fits, american).when(code == "1", other).otherwise(_permuted_digits(ten, "line", key))
     return _refilled(found, F.concat(code, new))
 
