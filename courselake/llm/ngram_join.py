@@ -34,6 +34,8 @@ from courselake.llm.common import (
 from courselake.llm.packing import bucket_edges, pack, pack_sorted, unpack, unpack_sorted
 
 BATCH_SHINGLES = 1_000_000
+BATCH_TEXTS = 200_000
+BUCKET_BYTES = 32 << 20  # of text whose shingles one range of hashes counts
 BITS = 56
 
 
@@ -62,7 +64,8 @@ def sketches(docs: DataFrame, width: int, similarity: Fraction) -> DataFrame:
     """(doc_id, n, node, shared) per text: size and digest of its set, and how many of its
     shingles other texts have too."""
     spark = docs.sparkSession
-    buckets = 2 * shuffle_partitions(spark)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(2 * shuffle_partitions(spark), size // BUCKET_BYTES)
     asked_schema = (
         "bucket int, batch string, keys binary, owners binary, ids array<long>, sizes array<int>, nodes array<long>, own array<int>"
     )
@@ -114,7 +117,7 @@ def sketches(docs: DataFrame, width: int, similarity: Fraction) -> DataFrame:
                 ids.append(doc_id)
                 sets.append(shingles(data, width))
                 size += len(sets[-1])
-                if size >= BATCH_SHINGLES:
+                if size >= BATCH_SHINGLES or len(ids) >= BATCH_TEXTS:
                     yield flush(f"{task}-{n}", ids, sets)
                     n, size, ids, sets = n + 1, 0, [], []
         if ids:
@@ -200,13 +203,13 @@ def signatures(hashes: np.ndarray, similarity: Fraction) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, kept: DataFrame, width: int, most_bytes: int = 64 << 20) -> DataFrame:
-    """(node, hashes) of the kept (doc_id, node): one text per node.
+    """(node, copies, n, hashes) of the kept (doc_id, node, copies): one text per node.
 
-    The kept ids are sent to the texts if they are proven few (16 bytes each), else both are
-    shuffled by id.
+    The kept ids are sent to the texts if they are proven few (64 bytes each in a hash relation),
+    else both are shuffled by id.
     """
     small_batches(docs.sparkSession)
-    few = F.broadcast(kept) if kept.count() * 16 <= most_bytes else kept
+    few = F.broadcast(kept) if kept.count() * 64 <= most_bytes else kept
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few, "doc_id")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,13 +219,15 @@ def _sets(docs: DataFrame, kept: DataFrame, width: int, most_bytes: int = 64 <<
             same = [i for i, s in enumerate(sets) if len(s) and set_digest(s) == node[i]]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(node[same]), pa.array([len(sets[i]) for i in same], pa.int64()),
+                    pa.array(node[same]), pa.array(batch.column(2).to_numpy()[same]),
+                    pa.array([len(sets[i]) for i in same], pa.int64()),
                     pa.array([pack_sorted(sets[i]) for i in same], pa.binary()),
                 ],
-                ["node", "n", "hashes"],
+                ["node", "copies", "n", "hashes"],
             )
 
-    return map_arrow(joined.select("text", "node"), build, "node long, n long, hashes binary").dropDuplicates(["node"])
+    schema = "node long, copies long, n long, hashes binary"
+    return map_arrow(joined.select("text", "node", "copies"), build, schema).dropDuplicates(["node"])
 
 
 def _blocks(sets: DataFrame, similarity: Fraction) -> DataFrame:
@@ -300,34 +305,40 @@ def divide_skip(lists: list[np.ndarray], least: int, tuning: float = 0.01) -> tu
     return members, counts
 
 
-def linked_within(nodes: np.ndarray, sets: list[np.ndarray], asks: np.ndarray, listed: np.ndarray, similarity: Fraction):
-    """Edges (node, node) that connect what links connect: each asking set against the listed ones.
-
-    A candidate already connected to the asking set needs no comparison.
-    """
+def linked_within(
+    nodes: np.ndarray, sets: list[np.ndarray], copies: np.ndarray, asks: np.ndarray, listed: np.ndarray,
+    similarity: Fraction,
+):
+    """Each asking set against the listed ones: edges (node, node) that connect what links connect,
+    and per set the copies that it links with among those compared. A pair of sets that both ask
+    and are listed is met from both sides, any other pair from one and counted for both."""
     top, bottom = similarity.numerator, similarity.denominator
     size = np.array([len(s) for s in sets])
     place = np.flatnonzero(listed)
     lists = Lists([sets[i] for i in place])
     group = np.arange(len(sets))  # smallest place in each connected group, kept flat
-    edges = []
+    edges, partners = [], np.zeros(len(sets), np.int64)
     for i in np.flatnonzero(asks):
         least = ceil(size[i] * similarity)
         members, counts = divide_skip(lists.of(sets[i]), least)
         other = place[members]
-        near = (group[other] != group[i]) & (bottom * counts >= top * (size[i] + size[other] - counts))
-        for j in other[near]:
+        near = other[(other != i) & (bottom * counts >= top * (size[i] + size[other] - counts))]
+        partners[i] += copies[near].sum()
+        once = near if not listed[i] else near[~asks[near]]
+        partners[once] += copies[i]
+        for j in near[group[near] != group[i]]:
             if group[j] != group[i]:
                 a, b = sorted((group[i], group[j]))
                 group[group == b] = a
                 edges.append((nodes[i], nodes[j]))
-    return edges
+    return edges, partners
 
 
 def _links(sets: DataFrame, blocks: DataFrame, similarity: Fraction, block_shingles: int) -> DataFrame:
-    """Edges between linked nodes, by block. A block above ``block_shingles`` is cut into segments,
-    and each pair of segments is one group: the first one's sets ask, the second one's are listed.
-    So a task holds two segments at most, however large the block."""
+    """(a, b, partners) by block: edges between linked nodes with 0 partners, and a row (node, node,
+    copies it links with) per group that found some. A block above ``block_shingles`` is cut into
+    segments, and each pair of segments is one group: the first one's sets ask, the second one's are
+    listed. So a task holds two segments at most, however large the block."""
     own = sets.join(blocks, "node")
     segments = own.groupBy("label").agg(
         F.least(F.count("*"), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("segments")
@@ -339,7 +350,7 @@ def _links(sets: DataFrame, blocks: DataFrame, similarity: Fraction, block_shing
         .select(
             "label", F.least("home", "other").alias("first"), F.greatest("home", "other").alias("second"),
             (F.col("home") <= F.col("other")).alias("asks"), (F.col("home") >= F.col("other")).alias("listed"),
-            "node", "hashes",
+            "node", "copies", "hashes",
         )
     )
 
@@ -348,17 +359,27 @@ def _links(sets: DataFrame, blocks: DataFrame, similarity: Fraction, block_shing
         nodes = pdf["node"].to_numpy()
         sets = [unpack_sorted(h) for h in pdf["hashes"]]
         asks, listed = pdf["asks"].to_numpy(bool), pdf["listed"].to_numpy(bool)
-        edges = linked_within(nodes, sets, asks, listed, similarity) if listed.any() else []
-        return pd.DataFrame(np.array(edges, np.int64).reshape(-1, 2), columns=["a", "b"])
+        if not listed.any():
+            return pd.DataFrame({c: pd.Series([], dtype="int64") for c in ("a", "b", "partners")})
+        edges, partners = linked_within(nodes, sets, pdf["copies"].to_numpy(np.int64), asks, listed, similarity)
+        ends = np.array(edges, np.int64).reshape(-1, 2)
+        some = partners > 0
+        return pd.DataFrame(
+            {
+                "a": np.r_[ends[:, 0], nodes[some]], "b": np.r_[ends[:, 1], nodes[some]],
+                "partners": np.r_[np.zeros(len(ends), np.int64), partners[some]],
+            }
+        )
 
-    return placed.groupBy("label", "first", "second").applyInPandas(search, "a long, b long")
+    return placed.groupBy("label", "first", "second").applyInPandas(search, "a long, b long, partners long")
 
 
 def ngram_components(
     docs: DataFrame, width: int = 3, similarity: Fraction = Fraction(9, 10), block_shingles: int = 1_500_000
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id) per document: the size of its set of distinct runs of
-    ``width`` words (A-Z in lower case) and the smallest doc_id that links reach, itself included.
+    """(doc_id, n_shingles, component_id, n_links) per document: the size of its set of distinct runs
+    of ``width`` words (A-Z in lower case), the smallest doc_id that links reach, itself included, and
+    the number of other rows it links with.
 
     Two documents link if their sets' Jaccard similarity reaches ``similarity``; equal sets are one
     node, so groups of copies cost one search. A text without words, or null, has no shingles and
@@ -369,18 +390,30 @@ def ngram_components(
     sketch = stored(sketches(docs, width, similarity))
     linkable = sketch.where("n > 0 and doc_id is not null")
     enough = F.ceil(F.col("n") * F.lit(similarity.numerator) / F.lit(similarity.denominator))
-    kept = linkable.where(F.col("shared") >= enough).groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    sets = stored(_sets(docs, stored(kept.select("doc_id", "node")), width))
+    kept = linkable.where(F.col("shared") >= enough).groupBy("node").agg(
+        F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")
+    )
+    sets = stored(_sets(docs, stored(kept.select("doc_id", "node", "copies")), width))
     blocks = stored(_blocks(sets, similarity))
-    groups = connected_components(stored(_links(sets, blocks, similarity, block_shingles)))
+    links = stored(_links(sets, blocks, similarity, block_shingles))
+    groups = connected_components(links)
     # copies of a text share a node; they are counted as one before anything is joined by node
-    first = linkable.groupBy("node").agg(F.min("doc_id").alias("first")).join(groups, "node", "left").select(
-        "node", "first", F.coalesce("label", "node").alias("label")
+    none = F.lit(None).cast("long")
+    of_node = (
+        linkable.select("node", "doc_id", F.lit(1).cast("long").alias("links"), none.alias("label"))
+        .unionByName(groups.select("node", none.alias("doc_id"), F.lit(0).cast("long").alias("links"), "label"))
+        .unionByName(links.where("a = b").select(F.col("a").alias("node"), none.alias("doc_id"), F.col("partners").alias("links"), none.alias("label")))
+        .groupBy("node").agg(
+            F.min("doc_id").alias("first"), (F.sum("links") - 1).alias("n_links"),
+            F.coalesce(F.min("label"), F.col("node")).alias("label"),
+        )
     )
-    least = first.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = first.join(least, "label").select("node", "component_id")
+    least = of_node.groupBy("label").agg(F.min("first").alias("component_id"))
+    named = of_node.join(least, "label").select("node", "component_id", "n_links")
     alone = F.when((F.col("n") == 0), F.col("doc_id"))
+    can_link = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     return sketch.join(named, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce(alone, "component_id")).alias("component_id"),
+        F.when(can_link, F.col("n_links")).otherwise(0).cast("long").alias("n_links"),
     )

@@ -217,7 +217,7 @@ def components(rows, width, similarity):
         words = (text or "").encode().lower().split()
         k = min(width, len(words))
         sets.append({tuple(words[j : j + k]) for j in range(len(words) - k + 1)} if k else set())
-    parent = list(range(len(rows)))
+    parent, links = list(range(len(rows))), [0] * len(rows)
 
     def find(a):
         while parent[a] != a:
@@ -230,20 +230,39 @@ def components(rows, width, similarity):
             if both and rows[i][0] is not None and rows[j][0] is not None:
                 if both >= similarity * (len(a) + len(sets[j]) - both):
                     parent[find(i)] = find(j)
+                    links[i], links[j] = links[i] + 1, links[j] + 1
     least = {}
     for i, r in enumerate(rows):
         if r[0] is not None:
             least[find(i)] = min(least.get(find(i), r[0]), r[0])
-    return collections.Counter((r[0], len(s), least.get(find(i))) for i, (r, s) in enumerate(zip(rows, sets)))
+    return collections.Counter((r[0], len(s), least.get(find(i)), links[i]) for i, (r, s) in enumerate(zip(rows, sets)))
 
 
 @pytest.mark.parametrize("width,similarity", [(3, Fraction(9, 10)), (5, Fraction(4, 5)), (1, Fraction(1, 2))])
-def test_ngram_join_finds_all_components(docs, none, width, similarity):
+def test_ngram_join_finds_all_components_and_links(docs, none, width, similarity):
     got = ngram_join.ngram_components(docs, width, similarity, block_shingles=400).collect()
     assert collections.Counter(tuple(r) for r in got) == components(documents(), width, similarity)
     assert ngram_join.ngram_components(none, width, similarity).count() == 0
 
 
+def test_links_are_counted_within_and_across_segments(spark):
+    r = random.Random(8)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for i in range(90):
+        words = list(base)
+        for _ in range(i % 4):
+            words[r.randrange(60)] = f"x{r.randrange(9)}"
+        rows.append((i if i % 13 else None, " ".join(words)))
+    rows += [(200 + i, None) for i in range(5)] + [(300, ""), (300, " ".join(base)), (301, " ".join(base))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = components(rows, 3, Fraction(4, 5))
+    assert max(links for *_, links in want) > 40
+    for most in (150, 1_500_000):
+        got = ngram_join.ngram_components(df, 3, Fraction(4, 5), block_shingles=most).collect()
+        assert collections.Counter(tuple(x) for x in got) == want
+
+
 def test_divide_skip_counts_like_a_counter():
     r = random.Random(3)
     for _ in range(100):
