@@ -90,16 +90,16 @@ def targets(sizes: DataFrame, schedules=SCHEDULES, cap: float = 3.0) -> DataFram
     )
 
 
-def curriculum(docs: DataFrame, schedules=SCHEDULES, cap: float = 3.0) -> DataFrame:
+def curriculum(docs: DataFrame, schedules=SCHEDULES, cap: float = 3.0, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: size, source_size, target, copies, taken, position.
 
     A document is taken whole: once for every full pass over its source, and once more if the
     rest of the target covers its middle; so a source ends within half a document of its
     target. A null text has size 0 and is taken as often as the pass reaches it; an empty
     table gives no rows. Repeated rows count as documents of their own; ties in the order are
-    broken by id and size, so reruns agree. Only doc_id, source and text are read; other columns
-    of ``docs``, also those with the names above, do not reach the result. ``position`` is the
-    time of the first copy, null if there is none.
+    broken by id, size and ``keep``, so reruns agree. Only doc_id, source, text and the columns of
+    ``keep`` are read, and these reach the result; other columns of ``docs``, also those with the
+    names above, do not. ``position`` is the time of the first copy, null if there is none.
 
     The prefix sums run per (source, bucket) with bucket totals as offsets; the bucket count
     grows with the rows, so a hot source is spread over many tasks.
@@ -111,13 +111,13 @@ def curriculum(docs: DataFrame, schedules=SCHEDULES, cap: float = 3.0) -> DataFr
     lean = stored(
         sized.select(
             "doc_id", "source", "size",
-            F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("order"),
+            F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("order"), *keep,
         )
     )
-    return _planned(lean, schedules, cap)
+    return _planned(lean, schedules, cap, keep)
 
 
-def _planned(lean: DataFrame, schedules, cap: float) -> DataFrame:
+def _planned(lean: DataFrame, schedules, cap: float, keep: tuple[str, ...]) -> DataFrame:
     digits = 1
     rows = lean.count()
     while 16**digits * 20_000 < rows or digits < 2:
@@ -132,7 +132,7 @@ def _planned(lean: DataFrame, schedules, cap: float) -> DataFrame:
     goals = targets(parts.groupBy("source").agg(F.sum("bytes").alias("source_size")), schedules, cap)
     facts = offsets.join(goals.select(key.alias("_k"), "slot", "source_size", "target"), "_k")
     inside = (
-        Window.partitionBy("_k", "bucket").orderBy("order", "doc_id", "size")
+        Window.partitionBy("_k", "bucket").orderBy("order", "doc_id", "size", *keep)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     placed = (
@@ -153,7 +153,7 @@ def _planned(lean: DataFrame, schedules, cap: float) -> DataFrame:
     when = _by_slot(F.col("slot"), [demand_time(share, k) for k in schedules])
     return planned.withColumn("position", F.when(F.col("copies") > 0, when)).select(
         "doc_id", "source", "size", "source_size", "target", "copies", "taken", "position", "slot",
-        F.col("_start").alias("start"),
+        F.col("_start").alias("start"), *keep,
     )
 
 
