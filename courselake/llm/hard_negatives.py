@@ -145,7 +145,7 @@ def built_index(rows: DataFrame, width: int, cell_rows: int, most_codes: int, sa
         index.count[r["i"], r["j"]] = r["n"]
         index.radii[0][r["i"]] = max(index.radii[0][r["i"]], r["f1"])
         index.radii[1][r["j"]] = max(index.radii[1][r["j"]], r["f2"])
-    return index, placed.select("vec_id", "label", "ints", (F.col("i") * codes + F.col("j")).alias("cell"))
+    return index, placed.select("vec_id", "label", "ints", (F.col("i").cast("long") * codes + F.col("j")).alias("cell"))
 
 
 def _best_of_rows(score: np.ndarray, allowed: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -176,6 +176,8 @@ def _search(index_rows: DataFrame, cells: DataFrame, queries: DataFrame, visits:
     """Runs ``find(queries table, query matrix, rows table, row matrix)`` on every visited cell.
 
     Groups are (cell, part, batch of queries); a cell's rows go once to each batch that visits it.
+    Both sides' keys must have the same types (cell long, part and batch int): an int and a long
+    of one value hash to different partitions, and a cogroup does not cast.
     """
     asked = (
         visits.withColumn("batch", F.pmod(F.xxhash64("query", F.lit(9)), F.lit(batches)).cast("int"))

@@ -124,6 +124,21 @@ def test_hard_negatives_are_those_found_by_hand(spark, width, options):
     assert mining.hard_negatives(table.where("label is null")).count() == 0
 
 
+def test_hard_negatives_meet_their_cells_in_every_partition(spark):
+    """Adaptive merging puts all groups of a small table into one partition, where any two keys meet."""
+    r = random.Random(8)
+    rows = [(i, r.choice("abc"), [r.gauss(0, 0.2) for _ in range(6)]) for i in range(400)]
+    table = spark.createDataFrame(rows, "vec_id long, label string, embedding array<float>")
+    told = [(i, label, np.array(v, np.float32).tolist()) for i, label, v in rows]
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = mining.hard_negatives(table, 10, cell_rows=16).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert sorted(tuple(r) for r in got) == negatives_by_hand(told, 10, 5, 3, 50, 95)
+
+
 def test_cells_come_in_falling_order_of_their_bounds():
     r = np.random.RandomState(2)
     points = r.normal(size=(400, 6))
