@@ -281,3 +281,21 @@ def test_interval_join_is_the_join_by_comparison(spark):
     plan = joined._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert features.interval_join(p, s.limit(0), ["k"], "at", "since", "until").count() == 0
+
+
+def test_shuffles_grow_with_the_source_folder(spark, lake, monkeypatch):
+    from courselake import session
+    from courselake.sources.shelf import Shelf, folder_size
+
+    before = spark.conf.get(session.SHUFFLE_SETTING)
+    size = folder_size(spark, lake.sf_dir).bytes
+    try:
+        spark.conf.set(session.SHUFFLE_SETTING, "4")
+        monkeypatch.setattr(session, "TABLE_BYTES_PER_PARTITION", -(-size // 7))
+        Shelf(spark, lake.sf_dir)
+        assert spark.conf.get(session.SHUFFLE_SETTING) == "7"
+        monkeypatch.setattr(session, "TABLE_BYTES_PER_PARTITION", size)
+        Shelf(spark, lake.sf_dir)  # never lowered
+        assert spark.conf.get(session.SHUFFLE_SETTING) == "7"
+    finally:
+        spark.conf.set(session.SHUFFLE_SETTING, before)
