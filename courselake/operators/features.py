@@ -392,7 +392,9 @@ def range_join_clicks_by_join(spine: DataFrame, weekly: DataFrame) -> DataFrame:
     )
 
 
-def interval_join(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, begin: str, end: str) -> DataFrame:
+def interval_join(
+    points: DataFrame, intervals: DataFrame, keys: list[str], at: str, begin: str, end: str, placed: bool = False
+) -> DataFrame:
     """Every pair of a point and an interval of the same keys with begin <= at <= end.
 
     Points and interval ends are whole numbers. An interval of length n is put into bins of the
@@ -400,31 +402,42 @@ def interval_join(points: DataFrame, intervals: DataFrame, keys: list[str], at:
     intervals differ; a point looks into one bin for each width that occurs. The join is an
     equi-join on keys, width and bin with an exact residual, so nothing is compared across the
     whole key. Empty intervals and NULL ends match nothing; other columns must differ in name.
+
+    With ``placed``, for keys of few rows each, both sides are dealt by the keys alone before a row
+    gets its bins, so it is shuffled once and not once for each width; run it in ``placed_joins``.
     """
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition(*keys) if placed else df
+
     length = F.col(end) - F.col(begin) + 1
     sized = intervals.where(length > 0).withColumn("_level", F.ceil(F.log2(length.cast("double"))).cast("int"))
     width = F.pow(F.lit(2.0), F.col("_level"))
-    binned = sized.withColumn(
+    binned = dealt(sized).withColumn(
         "_bin",
         F.explode(F.sequence(F.floor(F.col(begin) / width).cast("long"), F.floor(F.col(end) / width).cast("long"))),
     )
     widths = sized.agg(F.sort_array(F.collect_set("_level")).alias("levels"))  # at most 64 numbers
-    probes = points.withColumn("_level", F.explode(F.coalesce(widths.scalar(), F.array().cast("array<int>")))).withColumn(
+    probes = dealt(points).withColumn("_level", F.explode(F.coalesce(widths.scalar(), F.array().cast("array<int>")))).withColumn(
         "_bin", F.floor(F.col(at) / F.pow(F.lit(2.0), F.col("_level"))).cast("long")
     )
     met = probes.join(binned, [*keys, "_level", "_bin"])
     return met.where((F.col(begin) <= F.col(at)) & (F.col(at) <= F.col(end))).drop("_level", "_bin")
 
 
-def range_join_clicks_binned(spine: DataFrame, weekly: DataFrame, last_week: int = LAST_WEEK) -> DataFrame:
+def range_join_clicks_binned(
+    spine: DataFrame, weekly: DataFrame, last_week: int = LAST_WEEK, placed: bool = False
+) -> DataFrame:
     """The clicks up to each spine week as an interval join: a week's clicks hold from that week to
-    the last one."""
+    the last one. With ``placed``, for a query run in ``placed_joins``, rows are dealt by attempt."""
     held = weekly.filter(F.col("course_week") <= last_week).select(
         *ATTEMPT, F.col("course_week").alias("since"), F.lit(last_week).alias("until"), "click_count"
     )
-    known = interval_join(spine.select(*ATTEMPT_WEEK), held, ATTEMPT, "course_week", "since", "until")
+    points = spine.select(*ATTEMPT_WEEK)
+    known = interval_join(points, held, ATTEMPT, "course_week", "since", "until", placed)
     sums = known.groupBy(*ATTEMPT_WEEK).agg(F.sum("click_count").alias("clicks_to_week"))
-    return spine.select(*ATTEMPT_WEEK).join(sums, ATTEMPT_WEEK, "left").withColumn(
+    points = points.repartition(*ATTEMPT) if placed else points
+    return points.join(sums, ATTEMPT_WEEK, "left").withColumn(
         "clicks_to_week", F.coalesce("clicks_to_week", F.lit(0)).cast("long")
     )
 

@@ -5,13 +5,16 @@ from __future__ import annotations
 import statistics
 import time
 from collections.abc import Callable
+from contextlib import nullcontext
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courselake.functions.columns import week_of
+from courselake.operators.trees import stored
 from courselake.schemas import ATTEMPT, FINAL_RESULTS, LAST_WEEK, PRESENTATION
+from courselake.session import placed_joins
 
 
 def outcome_distribution(attempts: DataFrame) -> DataFrame:
@@ -161,27 +164,38 @@ def weekly_totals_from_mart(weekly: DataFrame) -> DataFrame:
     )
 
 
-def compared(question: str, variants: dict[str, DataFrame]) -> DataFrame:
+def compared(question: str, variants: dict[str, DataFrame], placed: tuple[str, ...] = ()) -> DataFrame:
     """Ways to one answer, one row each: its rows, and the rows in which it differs from the first.
 
-    Rows are compared with their number of copies, in one grouped pass per variant.
+    Each answer is made once and stored, so the shuffles of one are gone before the next begins; those
+    named in ``placed`` run in ``placed_joins``. Rows are compared with their number of copies, in one
+    grouped pass over all answers.
     """
     names = list(variants)
-    first = variants[names[0]]
-    columns = first.columns
-    parts = []
+    columns = variants[names[0]].columns
+    answers = []
     for name, df in variants.items():
-        signed = first.withColumn("_sign", F.lit(1)).unionByName(
-            df.select(*columns).withColumn("_sign", F.lit(-1))
-        )
-        unequal = signed.groupBy(*columns).agg(F.sum("_sign").alias("_sign")).filter(F.col("_sign") != 0)
-        differing = unequal.agg(F.coalesce(F.sum(F.abs("_sign")), F.lit(0))).scalar()
-        parts.append(
-            df.agg(F.count(F.lit(1)).alias("rows")).select(
-                F.lit(question).alias("question"), F.lit(name).alias("variant"), "rows", differing.alias("differing")
-            )
-        )
-    return reduce(DataFrame.unionByName, parts)
+        with placed_joins(df.sparkSession) if name in placed else nullcontext():
+            answers.append(stored(df.select(*columns), "variant"))
+    together = reduce(DataFrame.unionByName, [df.withColumn("_variant", F.lit(i)) for i, df in enumerate(answers)])
+    copies = [F.col(f"_copies{i}") for i in range(len(names))]
+    counted = together.groupBy(*columns).agg(
+        *[F.count_if(F.col("_variant") == i).alias(f"_copies{i}") for i in range(len(names))]
+    )
+    facts = counted.agg(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(question).alias("question"),
+                    F.lit(name).alias("variant"),
+                    F.coalesce(F.sum(copies[i]), F.lit(0)).alias("rows"),
+                    F.coalesce(F.sum(F.abs(copies[0] - copies[i])), F.lit(0)).alias("differing"),
+                )
+                for i, name in enumerate(names)
+            ]
+        ).alias("facts")
+    )
+    return facts.select(F.explode("facts").alias("fact")).select("fact.*")
 
 
 def timed_pair(

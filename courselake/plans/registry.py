@@ -772,9 +772,10 @@ def _(lake: Lake) -> DataFrame:
         "clicks to week",
         {
             "running sum": features.range_join_clicks(lake.spine, lake.weekly),
-            "binned intervals": features.range_join_clicks_binned(lake.spine, lake.weekly),
+            "binned intervals": features.range_join_clicks_binned(lake.spine, lake.weekly, placed=True),
             "equi-join": features.range_join_clicks_by_join(lake.spine, lake.weekly),
         },
+        placed=("binned intervals",),
     )
     return weekly.unionByName(known)
 
