@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 from math import ceil, floor, log2
 
 import numpy as np
@@ -37,6 +38,7 @@ BATCH_SHINGLES = 1_000_000
 BATCH_TEXTS = 200_000
 BUCKET_BYTES = 32 << 20  # of text whose shingles one range of hashes counts
 BITS = 56
+MOST_COPIES = 4  # of a set at once, on average, for the segments of its block
 
 
 def shingles(data: bytes, width: int) -> np.ndarray:
@@ -338,14 +340,23 @@ def _links(sets: DataFrame, blocks: DataFrame, similarity: Fraction, block_shing
     """(a, b, partners) by block: edges between linked nodes with 0 partners, and a row (node, node,
     copies it links with) per group that found some. A block above ``block_shingles`` is cut into
     segments, and each pair of segments is one group: the first one's sets ask, the second one's are
-    listed. So a task holds two segments at most, however large the block."""
+    listed. So a task holds two segments at most, however large the block.
+
+    A set is copied once for each segment of its block. Where the copies are more than MOST_COPIES times
+    the sets, the groups are dealt into rounds of about so many, whose shuffles follow each other on disk.
+    """
     own = sets.join(blocks, "node")
-    segments = own.groupBy("label").agg(
-        F.least(F.count("*"), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("segments")
+    segments = stored(
+        own.groupBy("label").agg(
+            F.least(F.count("*"), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("segments"),
+            F.sum("n").alias("shingles"),
+        )
     )
+    copies = segments.agg(F.sum(F.col("shingles") * F.col("segments")) / F.sum("shingles")).first()[0] or 0
+    rounds = max(1, ceil(copies / MOST_COPIES))
     home = F.pmod(F.xxhash64("node"), F.col("segments")).cast("int")
     placed = (
-        own.join(segments, "label").withColumn("home", home)
+        own.join(segments.select("label", "segments"), "label").withColumn("home", home)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("segments") - 1)))
         .select(
             "label", F.least("home", "other").alias("first"), F.greatest("home", "other").alias("second"),
@@ -371,7 +382,13 @@ def _links(sets: DataFrame, blocks: DataFrame, similarity: Fraction, block_shing
             }
         )
 
-    return placed.groupBy("label", "first", "second").applyInPandas(search, "a long, b long, partners long")
+    def searched(some: DataFrame) -> DataFrame:
+        return some.groupBy("label", "first", "second").applyInPandas(search, "a long, b long, partners long")
+
+    if rounds == 1:
+        return searched(placed)
+    turn = F.pmod(F.xxhash64("label", "first", "second"), F.lit(rounds))
+    return reduce(DataFrame.unionByName, [stored(searched(placed.where(turn == i))) for i in range(rounds)])
 
 
 def ngram_components(
